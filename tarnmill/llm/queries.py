@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnmill.llm import language_id, packing, toxicity
+from tarnmill.llm import exact_chunks, language_id, packing, prob_minhash, toxicity
 from tarnmill.llm.common import table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_chunks.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -24,5 +28,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op6_packing, op7_language_id)}
-SQL: dict[str, str] = {}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.dedup(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op6_packing, op7_language_id, op10_minhash_dedup)}
+SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL}
