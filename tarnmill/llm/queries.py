@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnmill.llm import exact_chunks, language_id, packing, prob_minhash, toxicity
-from tarnmill.llm.common import table
+from tarnmill.llm import decontaminate, exact_chunks, language_id, license_scan, packing, prob_minhash, token_rollup, toxicity
+from tarnmill.llm.common import shared_dir, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "n_items", "contaminated")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,9 +35,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents as one batch, revises all of them to collapsed white space as a second, and sends that twice."""
+    docs, state = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    tidy = docs.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    token_rollup.commit_batch(state, "load", token_rollup.images(docs, 1))
+    for _ in range(2):
+        token_rollup.commit_batch(state, "revise", token_rollup.revisions(docs, tidy))
+    return token_rollup.totals(spark, state)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op6_packing, op7_language_id, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL}
