@@ -55,6 +55,21 @@ def bounded_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("bounded sample"), key), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, flag: str | None = None, slots: int = 1 << 17) -> DataFrame:
+    """Rows of df whose long `key` may be among those of `wanted`, so that few rows enter a join with it.
+
+    A hash picks one bit of `slots` longs; the longs are all that is broadcast, whatever the size of `wanted`, and a full
+    set of bits only lets more rows through. With `flag`, all rows stay and that column has the answer.
+    """
+    h = F.xxhash64(F.lit("maybe"), F.col(key))
+    slot, bit = F.pmod(F.shiftright(h, 6), F.lit(slots)), h.bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    found = df.withColumns({"__slot": slot, "__bit": bit}).join(F.broadcast(bits), "__slot", "left" if flag else "inner")
+    hit = F.coalesce(F.expr("getbit(__bits, __bit) = 1"), F.lit(False))
+    found = found.withColumn(flag, hit) if flag else found.filter(hit)
+    return found.drop("__slot", "__bit", "__bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `most` text bytes each, one row at least."""
     for batch in batches:

@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, exact_chunks, language_id, license_scan, packing, prob_minhash, token_rollup, toxicity
+from tarnmill.llm import decontaminate, exact_chunks, language_id, license_scan, line_dedup, packing, prob_minhash, token_rollup, toxicity
 from tarnmill.llm.common import shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_chunks.dedup(table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL}
