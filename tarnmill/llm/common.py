@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,20 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Logical operators after which rows may come in another order when they are computed again or with fewer columns.
+REORDERS = r"(?m)^[ :+*-]*(Join|Aggregate|Repartition\w*|Rebalance\w*|Sort|Window|GlobalLimit|LocalLimit|Intersect|Except|Distinct|Deduplicate|FlatMapGroups\w*|FlatMapCoGroups\w*|Sample)\b"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column `name` that tells its rows apart, the same on every read.
+
+    A place in a scan is such a number; where docs has been dealt out or joined before, it is staged first.
+    """
+    if re.search(REORDERS, docs._jdf.queryExecution().optimizedPlan().toString()):
+        docs = staged(docs, "input")
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The evaluation fold: crc32 of the id as text leaves 2 when divided by 4 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

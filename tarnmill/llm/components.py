@@ -1,10 +1,10 @@
 """Connected groups of similar items from candidate buckets, in DataFrame operations only.
 
-A bucket may hold a third of all items, so its pairs are never all written out. Each bucket first elects a few members
-(the smallest id in each of `salts` residues, found by a map-side minimum), and all members are compared with those. The
-links found join most of a large bucket into one component; what is left of it is then compared with the members of its
-other components, which is all that can still add a link between components. Buckets of a few members are compared in
-full by the first step. So the components are those of all pairs within buckets, at a cost near the bucket's size.
+A bucket may hold a third of all items, so its pairs are never all written out. Each bucket's smallest id, found by a
+map-side minimum, is first compared with all its members. The links found, with those of the members' other buckets, join
+most of a large bucket into one component; what is left of it is then compared with the members of its other components,
+which is all that can still add a link between components. So the components are those of all pairs within buckets, at a
+cost near the bucket's size.
 """
 
 from __future__ import annotations
@@ -42,24 +42,34 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def bucket_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], salts: int = 8) -> DataFrame:
+def bucket_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], grid: Callable[[DataFrame], DataFrame] | None = None, small: int = 16) -> DataFrame:
     """(id, comp) for the ids of items(bucket, id) that some verified pair within a bucket links to another id.
 
-    verify takes pairs(a, b), each once with a < b, and returns those that are links.
+    verify takes pairs(a, b), each once with a < b, and returns those that are links. With `grid`, what is left of buckets
+    of more than `small` members goes there as rows (bucket, id, comp, main, n, m) and comes back as links: main is the
+    bucket's largest component, n the size of the bucket and m the number of its members outside main.
     """
     many = items.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     live = staged(items.join(many, "bucket", "left_semi"), "live")
-    chosen = live.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("other")).select("bucket", "other")
+    chosen = live.groupBy("bucket").agg(F.min("id").alias("other"))
     ordered = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     first = staged(live.join(chosen, "bucket").filter("id <> other").select(*ordered).distinct(), "pairs")
     found = components(verify(first))
-    named = staged(live.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), "named")
-    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    apart = named.join(main, "bucket")
-    others = apart.select("bucket", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-    second = apart.filter("comp <> main").join(others, "bucket").filter("comp <> other_comp and (other_comp = main or id < other)")
+    named = live.join(found, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    largest = F.max(F.struct("k", "comp"))
+    main = sizes.groupBy("bucket").agg(largest["comp"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - largest["k"]).alias("m")).filter("m > 0")
+    apart = staged(named.join(main, "bucket"), "apart")
+    few = apart.filter(F.col("n") <= small) if grid else apart
+    others = few.select("bucket", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
+    second = few.filter("comp <> main").join(others, "bucket").filter("comp <> other_comp and (other_comp = main or id < other)")
     second = staged(second.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        found = components(verify(second).unionByName(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    more = [verify(second)] if not second.isEmpty() else []
+    if grid and not (large := apart.filter(F.col("n") > small)).isEmpty():
+        more.append(grid(large))
+    for links in more:
+        found = found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links)
+        if links is more[-1]:
+            return components(found)
+        found = found.toDF("id", "comp")
     return found

@@ -1,7 +1,7 @@
 """MinHash near-dedup (10): ProbMinHash signatures of weighted word shingles, banding, and exact verification.
 
 A document's elements are its distinct five-word shingles (lower-cased words between white space; a shorter text is one
-shingle), weighed by how often they occur. Each element sends a Poisson process of its weight, seeded by its hash, at
+shingle), weighed by one plus the logarithm of their count. Each element sends a Poisson process of its weight, seeded by its hash, at
 the document's registers: arrival times are sums of exponential steps, each arrival picks a register, and a register
 keeps the element that arrives first. A process ends once its time passes the document's latest register, since it can
 win none any more. Two registers agree with the probability Jaccard similarity. Bands of registers name buckets, and
@@ -9,8 +9,8 @@ pairs from buckets are links if the Jaccard similarity of their shingle sets is
 
 Equal texts fold into one class before banding, and large buckets are compared as in components.py, so no group's pairs
 are all written out. Null text counts as empty; empty texts are one class. Groups are connected; the row with the
-smallest doc_id (null last, then the first read) stays. Rows are told apart by their place in the input, which must read
-the same way each time, as a table does. Extra columns are ignored; an empty table gives no rows.
+smallest doc_id (null last, then the first read) stays. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import slices, staged
+from tarnmill.llm.common import numbered, slices, staged
 from tarnmill.llm.components import bucket_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +113,7 @@ def sketch(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
         for batch in slices(batches, most=2 << 20):
             texts = batch.column("text").to_pylist()
             owner, elements, counts = shingles(texts)
-            found = band_hashes(signatures(owner, elements, counts, len(texts), bands * band_rows), band_rows)
+            found = band_hashes(signatures(owner, elements, 1 + np.log(counts), len(texts), bands * band_rows), band_rows)
             some = np.zeros(len(texts), bool)
             some[owner] = True
             offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
@@ -136,26 +137,70 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, grams array<int>")
 
 
+def compare_blocks(apart: DataFrame, sets: DataFrame, similarity: float, side: int = 256) -> DataFrame:
+    """Links (a, b) between the components of each bucket of apart(bucket, id, comp, main, n, m), given sets(id, grams, bands).
+
+    The members outside the main component, and all members, are dealt into blocks of about `side`; each pair of blocks is
+    one group of at most that many rows on either side, and only links come out of it, one for an id and a component. Two
+    ids that share several buckets are compared in their first one.
+    """
+    cells = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / side)).cast("int")
+    cell = lambda n: F.pmod(F.xxhash64("id"), cells(n)).cast("int")
+    full = apart.join(sets, "id")
+    left = full.filter("comp <> main").withColumn("i", cell("m")).withColumn("j", F.explode(F.sequence(F.lit(0), cells("n") - 1)))
+    right = full.select(*[F.col(c).alias(c) for c in full.columns]).withColumn("j", cell("n")).withColumn("i", F.explode(F.sequence(F.lit(0), cells("m") - 1)))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        found: dict[str, list[int]] = {"a": [], "b": []}
+        if x.num_rows and y.num_rows:
+            band = x.column("bucket")[0].as_py() & 31
+            get = lambda t, c: t.column(c).to_numpy()
+            xi, xc, yi, yc = get(x, "id"), get(x, "comp"), get(y, "id"), get(y, "comp")
+            main = x.column("main")[0].as_py()
+            xb, yb = (np.array(t.column("bands").to_pylist(), np.int64)[:, :band] for t in (x, y))
+            lists = y.column("grams").combine_chunks()
+            grams, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            sizes = np.diff(ends)
+            for k, mine in enumerate(x.column("grams").to_pylist()):
+                test = (yc != xc[k]) & ((yc == main) | (xi[k] < yi)) & ~(yb == xb[k]).any(1)
+                if not test.any():
+                    continue
+                hit = np.concatenate([[0], np.cumsum(np.isin(grams, np.array(mine, np.int32)))])
+                shared = hit[ends[1:]] - hit[ends[:-1]]
+                near = np.flatnonzero(test & (shared >= similarity * (len(mine) + sizes - shared)))
+                for at in near[np.unique(yc[near], return_index=True)[1]]:
+                    found["a"].append(int(xi[k]))
+                    found["b"].append(int(yi[at]))
+        return pa.table({"a": pa.array(found["a"], pa.int64()), "b": pa.array(found["b"], pa.int64())})
+
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(compare, "a long, b long")
+
+
 def dedup(docs: DataFrame, similarity: float = 0.8, bands: int = 24, band_rows: int = 5) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, group_id (the doc_id that stays), group_size, kept, row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = numbered(docs, "__row").select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     hashed = base.select("row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
     sketched = staged(sketch(hashed, bands, band_rows), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = staged(sketched.groupBy("h1", "h2").agg(F.min(order).alias("best"), F.count("*").alias("n")).select("h1", "h2", "best", F.col("best.row").alias("id"), "n"), "classes")
     heads = sketched.select(F.col("row").alias("id"), "bands").join(classes.select("id"), "id", "left_semi")
-    items = heads.select("id", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "id")
+    items = heads.select("id", F.posexplode("bands").alias("band", "hash")).select(F.col("hash").bitwiseAND(F.lit(-32)).bitwiseOR(F.col("band")).alias("bucket"), "id")  # its last bits are the band
     texts = base.select(F.col("row").alias("id"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = staged(shingle_sets(texts.join(ids, "id", "left_semi")), "shingles")
+        sets = staged(shingle_sets(texts.join(ids.hint("merge"), "id", "left_semi")), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return staged(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
 
-    comps = bucket_components(items, verify)
+    def grid(apart: DataFrame) -> DataFrame:
+        ids = apart.select("id").distinct()
+        sets = shingle_sets(texts.join(ids.hint("merge"), "id", "left_semi")).join(heads, "id")
+        return staged(compare_blocks(apart, staged(sets, "shingles"), similarity), "links")
+
+    comps = bucket_components(items, verify, grid)
     named = classes.join(comps, "id", "left").withColumn("group", F.coalesce("comp", "id"))
     groups = named.groupBy("group").agg(F.min("best").alias("stays"), F.sum("n").alias("group_size"))
     final = named.select("h1", "h2", "group").join(groups, "group").select("h1", "h2", F.col("stays.doc_id").alias("group_id"), F.col("stays.row").alias("kept_row"), "group_size")
