@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, exact_chunks, language_id, license_scan, line_dedup, packing, prob_minhash, token_rollup, toxicity
+from tarnmill.llm import decontaminate, exact_chunks, language_id, license_scan, line_dedup, packing, prob_minhash, suffix_dedup, token_rollup, toxicity
 from tarnmill.llm.common import shared_dir, table
 
 
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_chunks.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,5 +62,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_suffix_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL}
