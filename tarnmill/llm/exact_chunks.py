@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import staged
+from tarnmill.llm.common import numbered, staged
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -47,17 +47,20 @@ def identifier(chunk: Column, bits: int = 64) -> Column:
 
 def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_points, text_sha256 and recipe, the list of verified chunk identifiers, for each row of docs(doc_id, text)."""
-    text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"), normalised(text).alias("norm"))
     chunks = F.regexp_extract_all("norm", F.lit(cut_pattern()), F.lit(0))
-    distinct = base.select(F.explode(chunks).alias("chunk")).select(identifier(F.col("chunk"), bits).alias("id"), "chunk").distinct()
+
+    def prepared(rows: DataFrame, *more: str) -> DataFrame:
+        text = F.col("text").cast("string")
+        base = rows.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_points"), normalised(text).alias("norm"))
+        return base.select(*more, "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks, lambda c: identifier(c, bits)).alias("recipe"), "norm")
+
+    distinct = prepared(docs).select(F.explode(chunks).alias("chunk")).select(identifier(F.col("chunk"), bits).alias("id"), "chunk").distinct()
     shared = distinct.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    rows = base.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks, lambda c: identifier(c, bits)).alias("recipe"), "norm")
     if shared.isEmpty():  # every identifier stands for one chunk
-        return rows.drop("norm")
+        return prepared(docs).drop("norm")
     # Chunks under a shared identifier are told apart by their own text; both lists together are verified.
     rank = distinct.join(shared, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("chunk")).alias("texts"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = prepared(numbered(docs, "__row"), "__row").withColumnRenamed("__row", "row")
     ranked = (
         rows.select("row", F.posexplode(chunks).alias("pos", "chunk"))
         .withColumn("id", identifier(F.col("chunk"), bits))

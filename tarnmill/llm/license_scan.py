@@ -143,13 +143,13 @@ class Notices:
                     window = part[s : s + 6 * n]
                     matched = patience(notice, window)
                     if matched and len(matched) >= least * n and matched[-1][1] - matched[0][1] < 3 * n:
-                        found.append((name, len(matched) / n, lo + s + matched[0][1], lo + s + matched[-1][1]))
+                        found.append((name, len(matched) / n, lo + s + matched[0][1], lo + s + matched[-1][1], len(matched)))
                     if s + 6 * n >= len(part):
                         break
-        # A longer notice stands for the shorter ones that it holds.
-        found.sort(key=lambda f: (-(f[3] - f[2]) * f[1], f[2], f[0]))
+        # The notice with the most matched words stands for those that overlap it; among equals the tighter one.
+        found.sort(key=lambda f: (-f[4], f[3] - f[2], f[2], f[0]))
         out: list[tuple[str, float, int, int]] = []
-        for f in found:
+        for f in (f[:4] for f in found):
             if not any(f[2] <= o[3] and o[2] <= f[3] for o in out):
                 out.append(f)
         return sorted(out, key=lambda f: (-f[1], f[2], f[0]))
