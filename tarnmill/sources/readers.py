@@ -144,9 +144,9 @@ def ordered_rows(rows: DataFrame, parent: str, value, *order: str) -> DataFrame:
     return rows.filter(F.col(parent) == value).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
-def first_alias(row: str, names: Sequence[str]):
-    """The first of several spellings of a JSON field that has a text."""
-    return T.first_text([F.col(f"{row}.{n}") for n in names])
+def first_alias(record: str, names: Sequence[str]):
+    """The first of several spellings of a field that has a text, in a map column (struct fields ignore case)."""
+    return T.first_text([F.try_element_at(F.col(record), F.lit(n)) for n in names])
 
 
 def number_children(rows: DataFrame, parent: str, order: Sequence[str], name: str = "file_no") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_progress(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts of events(ts, user_id, event_type) a job and window; late events are taken within the watermark."""
-    dated = events.withWatermark("ts", late) if events.isStreaming else events
+    # A watermark needs an instant; a stream's local times are taken in the session's zone.
+    dated = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return dated.groupBy(F.window("ts", width).alias("w"), F.col("user_id").alias("job_id")).agg(
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("errors")
     ).select(F.col("w.start").alias("window_start"), "job_id", "events", "done", "errors")
