@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
@@ -30,6 +30,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """df with its rows' places in `order`, from 1: ranges are numbered in their own tasks, then moved up by offsets."""
+    ranged = df.withColumns({f"__k{i}": c for i, c in enumerate(order)})
+    keys = [f"__k{i}" for i in range(len(order))]
+    ranged = stage(ranged.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("int")).drop("__part", "__before", *keys)
+
+
 def similar_pairs(items: DataFrame, threshold: float, block_rows: int = 2048) -> DataFrame:
     """All pairs (a, b, score) of items(id, vector) with a < b and cosine of `threshold` or more.
 
@@ -90,11 +101,11 @@ def clusters(items: DataFrame, thresholds: dict[str, float] | None = None, job_i
     rank = F.struct((T.collapse(F.col("answer")) != "").cast("int").alias("answered"), length.alias("total"), (-F.coalesce("sort_no", F.lit(0))).alias("early"), F.col("knowledge_id").alias("id"))
     named = items.join(roots.withColumnRenamed("id", "knowledge_id"), "knowledge_id", "left").withColumn("root", F.coalesce("root", "knowledge_id"))
     groups = named.groupBy("knowledge_type", "root").agg(F.max(rank)["id"].alias("representative_id"), F.count("*").alias("size"), F.min(F.struct(F.coalesce("sort_no", F.lit(0)).alias("s"), "knowledge_id")).alias("first"))
-    numbered = groups.filter("size > 1").withColumn("number", F.row_number().over(Window.orderBy(F.when(F.col("knowledge_type") == "qa", 0).otherwise(1), "first")))  # groups of two or more only
+    several = numbered(groups.filter("size > 1"), [F.when(F.col("knowledge_type") == "qa", 0).otherwise(1), F.col("first")])
     prefix = F.when(F.col("knowledge_type") == "qa", "QG").otherwise("PG")
-    numbered = numbered.select("knowledge_type", "root", F.format_string("%s_%s_%04d", F.lit(job_id), prefix, "number").alias("dedup_group_id"))
+    several = several.select("knowledge_type", "root", F.format_string("%s_%s_%04d", F.lit(job_id), prefix, "number").alias("dedup_group_id"))
     chosen = groups.select("knowledge_type", "root", "representative_id", "size")
-    marked = named.join(chosen, ["knowledge_type", "root"]).join(numbered, ["knowledge_type", "root"], "left")
+    marked = named.join(chosen, ["knowledge_type", "root"]).join(several, ["knowledge_type", "root"], "left")
     best = items.select(F.col("knowledge_id").alias("representative_id"), F.col("vector").alias("best_vector"))
     marked = marked.join(best, "representative_id")
     own = F.col("knowledge_id") == F.col("representative_id")
