@@ -1,9 +1,10 @@
 """Benchmark decontamination (5): rare n-gram seeds join passages to test items, local alignment scores the copies.
 
-Test items are read as words. Each item's word n-grams are counted over the whole corpus, and the rarer half of an
-item's n-grams are its seeds, so an item copied into a third of all documents keeps seeds too. A document that holds a
-seed is aligned with the item around it by Smith-Waterman (match 2, mismatch and gap -1, by words); the score divided by
-a perfect copy's score is the similarity, so edited and paraphrased copies keep most of it.
+Test items are read as words. Each item's word n-grams are counted over the whole corpus, and its seeds are those of at
+most four times the count of its rarer quarter (of the n-grams that occur). So an item copied into a third of all documents
+keeps its seeds, and an n-gram that only an edited copy still has is one. A document that holds a seed is aligned with the item around it by Smith-Waterman (match 2, mismatch and gap -1, by words); the score divided by
+a perfect copy's score is the similarity, so edited and paraphrased copies keep most of it: a copy with four words in ten
+replaced still has 0.4.
 
 Items are taken in blocks of `block` of them, whose vocabulary and n-grams (bounded by the block) go to every task; each
 block is a pass over the documents that stays in the scan's own partitions. Items of fewer words than an n-gram are one
@@ -51,13 +52,17 @@ class Block:
         self.shortest = min((len(x) for _, x in self.items), default=GRAM)
 
     def choose_seeds(self, docs: DataFrame) -> Block:
-        """Keeps, of each item's n-grams, the rarer half in docs (ties kept) as its seeds."""
+        """Keeps, of each item's n-grams that occur in docs, those of up to four times the lower quartile's count."""
         counts = count_grams(docs, self)
         grams: dict[int, list[int]] = {}
         for k, places in enumerate(self.places):
             for item in {i for i, _ in places}:
                 grams.setdefault(item, []).append(k)
-        limit = {item: np.sort(counts[ks])[(len(ks) - 1) // 2] for item, ks in grams.items()}
+        limit = {}
+        for item, ks in grams.items():
+            found = np.sort(counts[ks])
+            found = found[found > 0]
+            limit[item] = 4 * found[len(found) // 4] if len(found) else 0
         self.seeds = [[(item, at) for item, at in places if counts[k] <= limit[item]] for k, places in enumerate(self.places)]
         return self
 
@@ -170,7 +175,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame, block: int = 2000) -> Iterato
         yield Block(batch).choose_seeds(docs)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block: int = 2000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, block: int = 2000) -> DataFrame:
     """docs(doc_id, text, ...) with item_id, similarity, n_items and contaminated added (null, 0, 0, false for clean rows).
 
     Columns of docs that have those names are replaced. item_id is the most similar item, the smallest id among equals.
