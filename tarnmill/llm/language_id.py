@@ -75,10 +75,19 @@ def segments(text: str) -> Iterator[str]:
         yield text[at : at + SEGMENT]
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = 1 << 16, size: int = 16, epochs: int = 4, rate: float = 0.5, reject_loss: float = 0.0005, seed: int = 7) -> LanguageModel:
-    """Trains on (text, language) pairs; every fifth is kept out of training and used for calibration."""
+def counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text's grams fall in, and how many in each; a text of any length has at most `buckets` of them."""
+    total = np.zeros(buckets, np.int64)
+    for part in segments(text):
+        total += np.bincount(grams(part, buckets), minlength=buckets)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = 1 << 16, size: int = 16, epochs: int = 4, rate: float = 0.5, reject_loss: float = 0.0005, seed: int = 7) -> LanguageModel:
+    """Trains on counted() texts and their languages; every fifth is kept out of training and used for calibration."""
     names = sorted(set(langs))
-    rows = [(np.unique(g, return_counts=True), len(g), names.index(y)) for t, y in zip(texts, langs, strict=True) if len(g := np.concatenate([grams(s, buckets) for s in segments(t)] or [np.zeros(0, np.int64)]))]
+    rows = [((idx, count), int(count.sum()), names.index(y)) for (idx, count), y in zip(features, langs, strict=True) if len(idx)]
     if not rows:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
@@ -135,11 +144,23 @@ def predict_one(model: LanguageModel, text: str | None) -> tuple[str, float, boo
     return model.languages[k], float(p[k]), bool(p[k] < model.reject_below)
 
 
-def train(docs: DataFrame, sample: int = 6000) -> LanguageModel:
-    """Fits on at most about `sample` rows of docs(doc_id, text, lang) outside the held-out fold, null languages left out."""
+def train(docs: DataFrame, sample: int = 6000, buckets: int = 1 << 16) -> LanguageModel:
+    """Fits on at most about `sample` rows of docs(doc_id, text, lang) outside the held-out fold, null languages left out.
+
+    The texts are counted on the executors; only their bounded counts come to the driver.
+    """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("k"), "text", "lang")
-    found = bounded_sample(rows, F.col("k"), sample).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").toArrow()
-    return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [counted(t, buckets) for t in batch.column("text").to_pylist()]
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("at"), *(pa.array([f[i].astype(np.int32) for f in found], kinds) for i in (0, 1))], ["lang", "at", "idx", "n"])
+
+    picked = bounded_sample(rows, F.col("k"), sample).select("lang", F.xxhash64("text").alias("at"), "text")
+    found = picked.mapInArrow(run, "lang string, at long, idx array<int>, n array<int>").orderBy("lang", "at").toArrow()
+    lists = [[np.asarray(x.values) for x in found.column(c)] for c in ("idx", "n")]
+    return fit(list(zip(*lists, strict=True)), found.column("lang").to_pylist(), buckets)
 
 
 def predict(docs: DataFrame, model: LanguageModel, columns: list[str] | None = None) -> DataFrame:
