@@ -120,6 +120,26 @@ def build_chunks(items: DataFrame, limits: ChunkLimits, job: str = "job_item_id"
     return out.withColumnRenamed("job", job)
 
 
+def chunk_inputs(records: DataFrame, key: str) -> DataFrame:
+    """(key, sort_no, item_id, text) of records(key, kind, index, text), ready for build_chunks().
+
+    Pages lose leading line numbers, and those that are front matter are left out; blank records are dropped. Ids are
+    `key:page_n` for pages and `key:n` for the rest, and sort_no counts what is left of a key in order.
+    """
+    paged = F.col("kind") == "pdf"
+    body = F.when(paged, T.chunk_input(F.col("text"))).otherwise(T.strip(F.col("text")))
+    suffix = F.when(paged, F.concat(F.lit("page_"), "index")).otherwise(F.col("index").cast("string"))
+    kept = records.withColumn("text", body).filter((F.col("text") != "") & ~(paged & T.is_front_matter(F.col("text"))))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("index"))
+    return kept.select(key, order.alias("sort_no"), F.concat(F.col(key).cast("string"), F.lit(":"), suffix).alias("item_id"), "text")
+
+
+def prompts(chunks: DataFrame, template: str, most: int) -> DataFrame:
+    """chunks with prompt, the template and the chunk's text; one of more than `most` characters fails the job."""
+    whole = F.concat(F.lit(f"{template}\n\n"), "chunk_text")
+    return chunks.withColumn("prompt", F.when(F.length(whole) <= most, whole).otherwise(F.raise_error(F.lit(f"a prompt is longer than {most}"))))
+
+
 def continue_numbers(qa: DataFrame, plain: DataFrame, job: str = "job_item_id") -> DataFrame:
     """qa and plain chunks of a job in one numbering: plain ones go on after the last qa one."""
     both = qa.withColumn("prompt_type", F.lit("qa")).unionByName(plain.withColumn("prompt_type", F.lit("plain")))

@@ -63,6 +63,19 @@ def build_entries(marked: DataFrame) -> DataFrame:
     )
 
 
+def fill_embeddings(entries: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]]) -> DataFrame:
+    """entries(search_text, embedding, ...) with embeddings of the search text where they are null; blank texts keep null."""
+    missing = F.col("embedding").isNull() & (T.strip(F.col("search_text")) != "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("embedding")
+            vectors = embed(batch.column("search_text").to_pylist()) if batch.num_rows else []
+            yield batch.set_column(at, batch.schema.field(at), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64())))
+
+    return entries.filter(~missing).unionByName(entries.filter(missing).mapInArrow(run, entries.schema))
+
+
 def execute_chunks(chunks: DataFrame, generate: Callable[[str], str], tries: int = 3) -> DataFrame:
     """Adds response and error to chunks(chunk_id, prompt, ...) by a generator that is tried again on failure."""
 

@@ -44,6 +44,14 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates([key]).select(*old.columns))
 
 
+def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old and new, or ValueError if new has a key that old has, or has one twice."""
+    clash = new.join(old.select(key), key, "left_semi").select(key).unionByName(new.groupBy(key).count().filter("count > 1").select(key))
+    if not clash.isEmpty():
+        raise ValueError(f"{key} is taken")
+    return old.unionByName(new.select(*old.columns))
+
+
 def replace_children(old: DataFrame, new: DataFrame, parent: str, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """old without the parents that new names, with new's rows instead; new rows that lack a required text are skipped.
 

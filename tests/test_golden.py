@@ -238,6 +238,26 @@ def test_refinement(spark):
     assert [(r.chunk_id, r.sort_no, r.question, r.answer, r.content) for r in refine.items_of(done).orderBy("chunk_id").collect()] == [("c1", 1, "a", "b", None), ("c3", 1, None, None, "c")]
 
 
+def test_inputs_and_prompts(spark):
+    rows = [("f", "pdf", 1, "目 次"), ("f", "pdf", 2, "[3] A page that is long enough to be kept, surely."), ("f", "pdf", 3, ""), ("g", "csv", 0, " k: v "), ("g", "csv", 1, None)]
+    inputs = chunking.chunk_inputs(spark.createDataFrame(rows, "k string, kind string, index int, text string"), "k")
+    assert sorted(map(tuple, inputs.collect())) == [("f", 1, "f:page_2", "A page that is long enough to be kept, surely."), ("g", 1, "g:0", "k: v")]
+    chunks = chunking.build_chunks(inputs, chunking.prompt_limits(chunking.ChunkLimits(100, 5), "Template"), "k")
+    assert {r.prompt for r in chunking.prompts(chunks, "Template", 100).collect()} == {"Template\n\nk: v", "Template\n\nA page that is long enough to be kept, surely."}
+    with pytest.raises(Exception, match="longer than 9"):
+        chunking.prompts(chunks, "Template", 9).collect()
+
+
+def test_missing_embeddings_and_taken_names(spark):
+    entries = spark.createDataFrame([("a", "text", None), ("b", " ", None), ("c", "x", [1.0])], "entry_id string, search_text string, embedding array<double>")
+    got = {r.entry_id: r.embedding for r in refine.fill_embeddings(entries, lambda texts: [[len(t)] for t in texts]).collect()}
+    assert got == {"a": [4.0], "b": None, "c": [1.0]}
+    files = entries.select("entry_id")
+    assert relational.append_new(files, spark.createDataFrame([("d",)], "entry_id string"), "entry_id").count() == 4
+    with pytest.raises(ValueError):
+        relational.append_new(files, files.limit(1), "entry_id")
+
+
 def test_file_records(spark, tmp_path):
     files = spark.createDataFrame([(1, "a.csv", "﻿k,v\r\nx, 1 \ny\n".encode()), (2, "b.txt", "表示\n\n次".encode("shift_jis")), (3, "c.json", b'{"a": [1]}'), (4, "d.json", b"{bad"), (5, "e.pdf", b"p1|p2"), (6, "f.pdf", b"")], "k long, path string, content binary")
     got = {}
