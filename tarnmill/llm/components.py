@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import drop_staged, staged
+from tarnmill.llm.common import drop_staged, maybe_in, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def bucket_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame]
     bucket's largest component, n the size of the bucket and m the number of its members outside main.
     """
     many = items.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    live = staged(items.join(many, "bucket", "left_semi"), "live")
+    many = staged(many, "buckets")
+    live = staged(maybe_in(items, "bucket", many).join(many, "bucket", "left_semi"), "live")
     chosen = live.groupBy("bucket").agg(F.min("id").alias("other"))
     ordered = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     first = staged(live.join(chosen, "bucket").filter("id <> other").select(*ordered).distinct(), "pairs")
@@ -67,9 +68,10 @@ def bucket_components(items: DataFrame, verify: Callable[[DataFrame], DataFrame]
     more = [verify(second)] if not second.isEmpty() else []
     if grid and not (large := apart.filter(F.col("n") > small)).isEmpty():
         more.append(grid(large))
-    for links in more:
-        found = found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links)
-        if links is more[-1]:
-            return components(found)
-        found = found.toDF("id", "comp")
+    if more:
+        edges = found.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        for links in more:
+            edges = edges.unionByName(links)
+        found = components(edges)
+    drop_staged(many, live, first, apart, second)
     return found

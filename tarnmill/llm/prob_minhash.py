@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import numbered, slices, staged
+from tarnmill.llm.common import drop_staged, numbered, slices, staged
 from tarnmill.llm.components import bucket_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -193,12 +193,17 @@ def dedup(docs: DataFrame, similarity: float = 0.8, bands: int = 24, band_rows:
         sets = staged(shingle_sets(texts.join(ids.hint("merge"), "id", "left_semi")), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return staged(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+        links = staged(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+        drop_staged(sets)
+        return links
 
     def grid(apart: DataFrame) -> DataFrame:
         ids = apart.select("id").distinct()
         sets = shingle_sets(texts.join(ids.hint("merge"), "id", "left_semi")).join(heads, "id")
-        return staged(compare_blocks(apart, staged(sets, "shingles"), similarity), "links")
+        sets = staged(sets, "shingles")
+        links = staged(compare_blocks(apart, sets, similarity), "links")
+        drop_staged(sets)
+        return links
 
     comps = bucket_components(items, verify, grid)
     named = classes.join(comps, "id", "left").withColumn("group", F.coalesce("comp", "id"))

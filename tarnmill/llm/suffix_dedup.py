@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import maybe_in, numbered, slices, staged
+from tarnmill.llm.common import drop_staged, maybe_in, numbered, slices, staged
 from tarnmill.llm.prob_minhash import mix
 
 BASE = 0x9E3779B97F4A7C15
@@ -192,8 +192,10 @@ def repeated_spans(docs: DataFrame, length: int, wide: int, narrow: int) -> tupl
     values = staged(heads.select("row", F.explode("anchors").alias("value")), "values")
     many = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
     repeated = staged(values.join(many, "value", "left_semi").groupBy("row").agg(F.collect_set("value").alias("repeated")), "repeated")
+    drop_staged(values)
     open_docs = maybe_in(docs.select("row", "text"), "row", repeated).join(repeated.hint("merge"), "row")
     parts = staged(segments(open_docs, length, wide).withColumn("sid", F.monotonically_increasing_id()), "segments")
+    drop_staged(sketch, repeated)
 
     found = staged(segment_runs(parts, length, narrow), "runs")
     texts = found.groupBy("value", "whole").agg(F.count("*").alias("n"), F.min(F.struct("sid", "first", "end")).alias("one"), F.max("twice").alias("twice"))
@@ -207,7 +209,9 @@ def repeated_spans(docs: DataFrame, length: int, wide: int, narrow: int) -> tupl
     single = windows.join(twin, ["a", "b"], "left_semi").select("sid", F.col("at").alias("first"), (F.col("at") + 1).alias("end"))
     places = parts.select("sid", "row", "start")
     spans = full.unionByName(single).join(places, "sid").select("row", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("span"))
-    return rows, spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    spans = staged(spans.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
+    drop_staged(parts, found, texts, windows)
+    return rows, spans
 
 
 def cut(data: bytes, spans: list[dict] | None, length: int) -> tuple[int, int, bytes]:
@@ -232,7 +236,6 @@ def dedup(docs: DataFrame, length: int = 400, wide: int = 200, narrow: int = 360
     base = numbered(docs, "__row").select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
     rows, spans = repeated_spans(base, length, wide, narrow)
-    spans = staged(spans, "spans")
     copies = rows.filter((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("row")
     touched = staged(spans.select("row").unionByName(copies).distinct(), "touched")
     kept = ["kept"] if with_text else []

@@ -76,8 +76,8 @@ def test_copies_and_edited_copies_are_found(make, items):
     for i in range(40):
         w = words(700 + i, 20 + i % 20).split()
         if i % 2:
-            for _ in range(3):
-                w[rng.randrange(len(w))] = "edited"
+            for at in rng.sample(range(len(w)), len(w) // 4):
+                w[at] = "edited"
         rows.append((i, f"{words(i, 40)} {' '.join(w)} {words(i + 50, 40)}"))
         want[i] = i
     rows += [(100 + i, words(2000 + i, 200)) for i in range(30)] + [(200, None), (None, ""), (201, "qq zz")]
