@@ -173,7 +173,7 @@ def test_edit_similarity_is_exact(spark):
 
 
 def test_simhash_is_the_majority_of_its_words(spark):
-    lines = [(i, i, 0, words(i, 1 + i * 3)) for i in range(30)]
+    lines = [(i, i, 0, words(i, 1 + i * 3)) for i in range(30)] + [(40, 40, 0, " ".join(f"w{i}" for i in range(700)))]
     got = line_dedup.simhashes(spark.createDataFrame(lines, "row long, doc_id long, pos int, line string")).collect()
     hashed = spark.createDataFrame([(i, w) for i, _, _, t in lines for w in set(t.split())], "row long, w string").select("row", F.xxhash64("w").alias("h")).collect()
     for r in got:
@@ -190,6 +190,12 @@ def test_native_operators_run_no_python(make, edge_rows):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_very_wide_lines_do_not_overflow(make):
+    wide = " ".join(f"w{i}" for i in range(40_000))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(make([(1, wide), (2, wide), (3, "short line")])).collect()}
+    assert got == {1: wide, 2: "", 3: "short line"}
+
+
 # Near dedup
 
 
