@@ -184,6 +184,14 @@ def test_simhash_is_the_majority_of_its_words(spark):
             assert bool(r.sim >> bit & 1) == want
 
 
+def test_long_lines_have_the_simhash_of_short_ones(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, i, 0, words(i, 1 + i * 3)) for i in range(30)], "row long, doc_id long, pos int, line string")
+    want = line_dedup.simhashes(lines).collect()
+    monkeypatch.setattr(line_dedup, "LONG", 40)
+    got = line_dedup.simhashes(lines).unionByName(line_dedup.long_simhashes(lines)).collect()
+    assert sorted(got) == sorted(want) and len(line_dedup.simhashes(lines).collect()) < 30
+
+
 def test_native_operators_run_no_python(make, edge_rows):
     docs = make(edge_rows)
     for df in (line_dedup.simhashes(line_dedup.lines_of(docs.select("row", "doc_id", "text"))), exact_chunks.recipes(docs)):
