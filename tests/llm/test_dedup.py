@@ -141,6 +141,38 @@ def test_line_dedup_joins_near_lines(make):
     assert got == {1: " ".join(base), 2: "", 3: far}
 
 
+def test_line_dedup_finds_what_brute_force_finds(make):
+    rng, rows, pairs = random.Random(12), [], 0
+    for i in range(200):
+        base = words(9000 + i, 5 + i % 96).split()
+        near = base[:]
+        for at in rng.sample(range(len(near)), max(1, len(near) // 10)):
+            near[at] = words(20000 + 100 * i + at, 1)
+        x, y = " ".join(base), " ".join(near)
+        pairs += x != y and one_minus_distance(x, y) >= 0.8 - 1e-9
+        rows += [(2 * i, x), (2 * i + 1, y)]
+    got = {r.doc_id: r for r in line_dedup.dedup(make(rows)).collect()}
+    joined = 0
+    for i in range(200):
+        x, y = rows[2 * i][1], rows[2 * i + 1][1]
+        if x != y and one_minus_distance(x, y) >= 0.8 - 1e-9:
+            joined += got[2 * i + 1].n_dropped
+        elif x != y and not any(one_minus_distance(y, z) >= 0.8 - 1e-9 for n, (_, z) in enumerate(rows) if n != 2 * i + 1):
+            assert got[2 * i + 1].n_dropped == 0
+    assert pairs > 100 and joined >= 0.95 * pairs
+
+
+def one_minus_distance(x, y):
+    if abs(len(x) - len(y)) > 0.25 * max(len(x), len(y)):
+        return 0.0
+    row = np.arange(len(y) + 1)
+    letters, slope = np.array(list(y)), np.arange(len(y) + 1)
+    for i, c in enumerate(x):
+        step = np.minimum(np.append(i + 1, row[:-1] + (letters != c)), row + 1)
+        row = np.minimum.accumulate(step - slope) + slope
+    return 1 - int(row[-1]) / max(len(x), len(y))
+
+
 def test_line_dedup_edges(make, edge_rows):
     got = line_dedup.dedup(make(edge_rows)).collect()
     assert len(got) == len(edge_rows)
