@@ -1,14 +1,16 @@
-"""Benchmark decontamination (5): rare n-gram seeds join passages to test items, local alignment scores the copies.
+"""Benchmark decontamination (5): a bound on the local alignment score joins texts to test items, alignment scores the copies.
 
-Test items are read as words. Each item's word n-grams are counted over the whole corpus, and its seeds are those of at
-most four times the count of its rarer quarter (of the n-grams that occur). So an item copied into a third of all documents
-keeps its seeds, and an n-gram that only an edited copy still has is one. A document that holds a seed is aligned with the item around it by Smith-Waterman (match 2, mismatch and gap -1, by words); the score divided by
-a perfect copy's score is the similarity, so edited and paraphrased copies keep most of it: a copy with four words in ten
-replaced still has 0.4.
+Test items are read as words. A text is aligned with an item by Smith-Waterman (match 2, mismatch and gap -1, by words); the
+score divided by a perfect copy's score is the similarity, so edited and paraphrased copies keep most of it: a copy with
+four words in ten replaced still has 0.4.
 
-Items are taken in blocks of `block` of them, whose vocabulary and n-grams (bounded by the block) go to every task; each
-block is a pass over the documents that stays in the scan's own partitions. Items of fewer words than an n-gram are one
-n-gram. Null or wordless items and texts match nothing; repeated items match alike; null doc_ids are carried through.
+No alignment scores more than the best stretch of the text where a word of the item counts 2 and any other -1, and none more
+than 2 for each of the item's words that the text holds. A text is aligned with every item whose bounds reach the
+threshold, so the result is that of all texts with all items, however common an item's words are.
+
+Items are taken in blocks of `block` of them, whose vocabulary and word lists (bounded by the block) go to every task; each
+block is a pass over the documents that stays in the scan's own partitions. Items of fewer than three words match as a
+whole only. Null or wordless items and texts match nothing; repeated items match alike; null doc_ids are carried through.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import slices
 
 WORD = re.compile(r"\w+")
-GRAM = 3
-BASE = np.uint64(0x9E3779B97F4A7C15)
+SHORT = 3  # items of fewer words match as a whole only
+CELLS = 1 << 22
 
 
 def words(text: str | None) -> list[str]:
@@ -34,69 +36,54 @@ def words(text: str | None) -> list[str]:
 
 
 class Block:
-    """Some test items: their words as numbers, and where each of their n-grams occurs."""
+    """Some test items: their words as numbers, and which items hold each word how often."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        places: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             found = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
             if found:
-                for at, h in enumerate(gram_hashes(np.array(found))):
-                    places.setdefault(int(h), []).append((len(self.items), at))
                 self.items.append((item_id, np.array(found)))
-        self.hashes = np.array(sorted(places), np.uint64)
-        self.places = [places[int(h)] for h in self.hashes]
-        self.seeds = self.places
-        self.shortest = min((len(x) for _, x in self.items), default=GRAM)
-
-    def choose_seeds(self, docs: DataFrame) -> Block:
-        """Keeps, of each item's n-grams that occur in docs, those of up to four times the lower quartile's count."""
-        counts = count_grams(docs, self)
-        grams: dict[int, list[int]] = {}
-        for k, places in enumerate(self.places):
-            for item in {i for i, _ in places}:
-                grams.setdefault(item, []).append(k)
-        limit = {}
-        for item, ks in grams.items():
-            found = np.sort(counts[ks])
-            found = found[found > 0]
-            limit[item] = 4 * found[len(found) // 4] if len(found) else 0
-        self.seeds = [[(item, at) for item, at in places if counts[k] <= limit[item]] for k, places in enumerate(self.places)]
-        return self
-
-    def hits(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A text's word numbers (-1: in no item), and the n-grams it shares: (number in hashes, place in the text)."""
-        w = words(text)
-        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
-        index, at = [], []
-        for size in range(min(self.shortest, GRAM), GRAM + 1):  # shorter items are one shorter n-gram
-            if len(ids) < size or not len(self.hashes):
-                continue
-            known = ids >= 0
-            run = known[: len(ids) - size + 1].copy()
-            for j in range(1, size):
-                run &= known[j : len(ids) - size + 1 + j]
-            starts = np.flatnonzero(run)
-            h = np.full(len(starts), size, np.uint64)
-            for j in range(size):
-                h = (h ^ (ids[starts + j] + 1).astype(np.uint64)) * BASE
-                h ^= h >> np.uint64(29)
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            ok = self.hashes[k] == h
-            index.append(k[ok])
-            at.append(starts[ok])
-        return ids, np.concatenate(index or [np.zeros(0, np.int64)]), np.concatenate(at or [np.zeros(0, np.int64)])
-
-
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
-    size = min(GRAM, len(ids))
-    h = np.full(len(ids) - size + 1, size, np.uint64)
-    for j in range(size):
-        h = (h ^ (ids[j : len(ids) - size + 1 + j] + 1).astype(np.uint64)) * BASE
-        h ^= h >> np.uint64(29)
-    return h
+        held = [np.unique(x, return_counts=True) for _, x in self.items]
+        word = np.concatenate([w for w, _ in held] or [np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        self.starts = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        self.holders = np.repeat(np.arange(len(held)), [len(w) for w, _ in held])[order]
+        self.times = np.concatenate([n for _, n in held] or [np.zeros(0, np.int64)])[order]
+        self.lengths = np.array([len(x) for _, x in self.items], np.int64)
+
+    def near(self, ids: np.ndarray, threshold: float) -> list[int]:
+        """The items that may reach the threshold somewhere in a text of these word numbers (-1: in no item)."""
+        if not self.items:
+            return []
+        present, place = np.unique(ids, return_inverse=True)
+        known = np.flatnonzero(present >= 0)
+        first = self.starts[present[known]]
+        n = self.starts[present[known] + 1] - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, column = self.holders[at], np.repeat(known, n)
+        least = needed(self.lengths, threshold)
+        total = np.bincount(item, 2 * self.times[at], len(self.items))
+        able = np.flatnonzero((total >= least) & (total > 0))
+        slot = np.full(len(self.items), -1)
+        out: list[int] = []
+        for part in np.array_split(able, max(1, len(able) * len(ids) // CELLS)):
+            slot[:] = -1
+            slot[part] = np.arange(len(part))
+            gain = np.full((len(part), len(present)), -1, np.int32)
+            mine = slot[item] >= 0
+            gain[slot[item[mine]], column[mine]] = 2
+            run = np.zeros((len(part), len(ids) + 1), np.int32)
+            np.cumsum(gain[:, place], axis=1, out=run[:, 1:])
+            best = (run - np.minimum.accumulate(run, axis=1)).max(axis=1)
+            out += part[best >= least[part]].tolist()
+        return out
+
+
+def needed(lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """The least alignment scores of items of these lengths that count."""
+    return np.where(lengths < SHORT, 2 * lengths, threshold * 2 * lengths) - 1e-9
 
 
 def align(item: np.ndarray, window: np.ndarray) -> float:
@@ -118,25 +105,13 @@ def align(item: np.ndarray, window: np.ndarray) -> float:
 
 def best_match(block: Block, text: str | None, threshold: float) -> tuple[int, float, int] | None:
     """(item_id, similarity, items that reach the threshold) of a text's best item, if any reaches it."""
-    ids, index, at = block.hits(text)
-    wanted: dict[int, set[int]] = {}
-    for k, place in zip(index.tolist(), at.tolist(), strict=True):
-        for item, start in block.seeds[k]:
-            wanted.setdefault(item, set()).add(place - start)
+    w = words(text)
+    ids = np.fromiter(map(block.vocabulary.get, w, repeat(-1)), np.int64, len(w))
     found = []
-    for item, offsets in wanted.items():
+    for item in block.near(ids, threshold) if len(ids) else ():
         item_id, item_words = block.items[item]
-        n, top = len(item_words), 0.0
-        spans: list[list[int]] = []
-        for o in sorted(offsets):  # an item's length and half again on each side of where it would lie, merged
-            lo, hi = max(0, o - n // 2 - 2), min(len(ids), o + n + n // 2 + 2)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(hi, spans[-1][1])
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
-            top = max(top, align(item_words, ids[lo:hi]))
-        if top >= threshold:
+        top = align(item_words, ids)
+        if top * 2 * len(item_words) >= needed(np.array(len(item_words)), threshold):
             found.append((top, item_id))
     if not found:
         return None
@@ -144,35 +119,17 @@ def best_match(block: Block, text: str | None, threshold: float) -> tuple[int, f
     return min(i for s, i in found if s == top), top, len(found)
 
 
-def count_grams(docs: DataFrame, block: Block) -> np.ndarray:
-    """How many rows of docs(text) hold each n-gram of the block; tasks add up their own, the block bounds the result."""
-    held = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value.hashes), np.int64)
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                total[np.unique(held.value.hits(text)[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
-
-    counts = np.zeros(len(block.hashes), np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r.gram] = r.n
-    return counts
-
-
-def prepare(docs: DataFrame, benchmark: DataFrame, block: int = 2000) -> Iterator[Block]:
-    """The benchmark(item_id, text) in blocks of items, each with its seeds chosen by counts over all documents."""
+def prepare(benchmark: DataFrame, block: int = 2000) -> Iterator[Block]:
+    """The benchmark(item_id, text) in blocks of items, in order of their ids."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     batch: list[tuple[int, str]] = []
     for r in items.orderBy("item_id", "text").toLocalIterator():
         batch.append((r.item_id, r.text))
         if len(batch) == block:
-            yield Block(batch).choose_seeds(docs)
+            yield Block(batch)
             batch = []
     if batch:
-        yield Block(batch).choose_seeds(docs)
+        yield Block(batch)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, block: int = 2000) -> DataFrame:
@@ -182,7 +139,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, block: i
     """
     names = ["item_id", "similarity", "n_items", "contaminated"]
     out = docs.drop(*names).withColumns({"item_id": F.lit(None).cast("long"), "similarity": F.lit(0.0), "n_items": F.lit(0)})
-    for ready in prepare(docs, benchmark, block):
+    for ready in prepare(benchmark, block):
         out = _scan_block(out, ready, threshold)
     return out.withColumn("contaminated", F.col("n_items") > 0)
 

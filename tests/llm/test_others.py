@@ -92,6 +92,20 @@ def test_an_item_in_a_third_of_all_documents_is_still_found(make, items):
     assert {r.doc_id for r in decontaminate.scan(make(rows), items).filter("contaminated").collect()} == set(range(0, 90, 3))
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark, make):
+    rng, texts = random.Random(8), [words(700 + i, 20) for i in range(6)]
+    skewed = [(i, f"{words(i, 9)} {' '.join(texts[0].split()[:12])} {words(i + 300, 9)}") for i in range(60)]
+    rows = skewed + [(100, texts[0]), (101, " ".join("x" if k % 3 == 2 else w for k, w in enumerate(texts[1].split())))]
+    for i in range(60):
+        rows.append((200 + i, " ".join(rng.choice(["x", w, w, f"{w} y"]) for w in texts[i % 6].split())))
+    got = {r.doc_id: r for r in decontaminate.scan(make(rows), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()}
+    for i, t in rows:
+        scores = [align_brute(x.split(), t.split()) for x in texts]
+        assert got[i].n_items == sum(s >= 0.4 - 1e-9 for s in scores)
+        assert not got[i].contaminated or got[i].similarity == pytest.approx(max(scores))
+    assert all(got[i].contaminated for i in [*range(60), 101])
+
+
 def test_blocks_of_items_give_the_same(make, items):
     rows = [(i, f"{words(i, 9)} {words(700 + i, 20 + i % 20)}") for i in range(40)]
     key = lambda r: (r.doc_id, r.item_id, round(r.similarity, 9))
