@@ -6,7 +6,8 @@ to a longest common subsequence. The share of the notice's words that were match
 changed names, years or line breaks are found, and where they lie.
 
 Only the parts of a text that hold word pairs of a notice are aligned, each with a notice's length of words around it; a
-notice that lacks a word pair of the text, or too many of its words, cannot reach the least coverage there. Null or empty
+notice that lacks a word pair of the text, or too many of its words, cannot reach the least coverage there. Copies that lie close together are aligned each on its own:
+word pairs vote for the places where a copy would start, and each such place is a window too. Null or empty
 texts have no license. Null or repeated doc_ids are carried through; extra columns are ignored.
 """
 
@@ -109,6 +110,17 @@ def patience(a: list[str], b: list[str], at: int = 0, bt: int = 0) -> list[tuple
     return out
 
 
+def copy_starts(votes: list[int], n: int) -> list[int]:
+    """Where copies of a notice of n words would start by the votes of its word pairs: the most voted for, a quarter notice apart."""
+    taken: dict[int, int] = {}  # by slot, of which each holds one at most
+    step = max(1, n // 4)
+    for start, _ in sorted(Counter(votes).items(), key=lambda v: (-v[1], v[0])):
+        slot = start // step
+        if all(abs(start - taken[s]) >= step for s in (slot - 1, slot, slot + 1) if s in taken):
+            taken[slot] = start
+    return sorted(taken.values())
+
+
 class Notices:
     def __init__(self, notices: dict[str, list[str]]):
         self.texts = [(name, words(t)) for name, texts in notices.items() for t in texts]
@@ -116,6 +128,10 @@ class Notices:
         for k, (_, w) in enumerate(self.texts):
             for pair in set(zip(w, w[1:], strict=False)):
                 self.pairs.setdefault(pair, []).append(k)
+        self.places: list[dict[tuple[str, str], list[int]]] = [{} for _ in self.texts]
+        for places, (_, w) in zip(self.places, self.texts, strict=True):
+            for i, pair in enumerate(zip(w, w[1:], strict=False)):
+                places.setdefault(pair, []).append(i)
         self.starts = frozenset(a for a, _ in self.pairs)
 
     def find(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
@@ -135,19 +151,23 @@ class Notices:
                 while j + 1 < len(places) and places[j + 1] - places[j] <= n:
                     j += 1
                 lo, hi = max(0, places[i] - n), min(len(w), places[j] + n + 1)
+                votes = [at - o for at in places[i : j + 1] for o in self.places[k][w[at], w[at + 1]]]
                 i = j + 1
                 part = w[lo:hi]
                 if sum((Counter(notice) & Counter(part)).values()) < least * n:
                     continue
+                windows = []
                 for s in range(0, len(part), 4 * n):  # long parts in windows that overlap by two notices
-                    window = part[s : s + 6 * n]
-                    matched = patience(notice, window)
-                    if matched and len(matched) >= least * n and matched[-1][1] - matched[0][1] < 3 * n:
-                        found.append((name, len(matched) / n, lo + s + matched[0][1], lo + s + matched[-1][1], len(matched)))
+                    windows.append((lo + s, min(hi, lo + s + 6 * n)))
                     if s + 6 * n >= len(part):
                         break
-        # The notice with the most matched words stands for those that overlap it; among equals the tighter one.
-        found.sort(key=lambda f: (-f[4], f[3] - f[2], f[2], f[0]))
+                for start in copy_starts(votes, n):  # tight windows for copies side by side, wide ones for words put in
+                    windows += [(max(0, start - slack), min(len(w), start + n + slack)) for slack in (0, n // 8, n // 4, n // 2)]
+                for a, b in sorted(set(windows)):
+                    if match := self.align(notice, w, a, b, least):
+                        found.append((name, match[2] / n, *match))
+        # A notice stands for those that overlap it by its matched words, less half of the other words in its span.
+        found.sort(key=lambda f: (-(3 * f[4] - (f[3] - f[2] + 1)), f[3] - f[2], f[2], f[0]))
         out: list[tuple[str, float, int, int]] = []
         for f in (f[:4] for f in found):
             if not any(f[2] <= o[3] and o[2] <= f[3] for o in out):
@@ -155,17 +175,34 @@ class Notices:
         return sorted(out, key=lambda f: (-f[1], f[2], f[0]))
 
 
+    @staticmethod
+    def align(notice: list[str], w: list[str], lo: int, hi: int, least: float) -> tuple[int, int, int] | None:
+        """(first word, last word, words matched) of the notice within w[lo:hi], if enough of it is there within three lengths."""
+        window, n = w[lo:hi], len(notice)
+        if sum((Counter(notice) & Counter(window)).values()) < least * n:
+            return None
+        matched = patience(notice, window)
+        if matched and len(matched) >= least * n and matched[-1][1] - matched[0][1] < 3 * n:
+            return lo + matched[0][1], lo + matched[-1][1], len(matched)
+        return None
+
+
 def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, license, coverage, first_word, last_word (of the best notice) and n_notices for every row of docs(doc_id, text)."""
+    """doc_id, license, coverage, first_word, last_word (of the best notice), n_notices and notices for every row of docs(doc_id, text).
+
+    notices are all of them, best first, as structs (license, coverage, first_word, last_word).
+    """
     wanted = notices or NOTICES
 
+    fields = [("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Notices(wanted)
         for batch in slices(batches):
             found = [ready.find(t, least) for t in batch.column("text").to_pylist()]
             best = [f[0] if f else (None, 0.0, None, None) for f in found]
-            kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-            columns = [pa.array([b[i] for b in best], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([len(f) for f in found], pa.int32())], ["doc_id", "license", "coverage", "first_word", "last_word", "n_notices"])
+            columns = [pa.array([b[i] for b in best], kind) for i, (_, kind) in enumerate(fields)]
+            every = pa.array([[dict(zip((k for k, _ in fields), f, strict=True)) for f in fs] for fs in found], pa.list_(pa.struct(fields)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([len(f) for f in found], pa.int32()), every], ["doc_id", "license", "coverage", "first_word", "last_word", "n_notices", "notices"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, n_notices int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, n_notices int, notices array<struct<license: string, coverage: double, first_word: long, last_word: long>>")

@@ -139,6 +139,18 @@ def test_notices_are_found_where_they_lie(make):
     assert license_scan.scan(make([])).count() == 0
 
 
+def test_notices_side_by_side_are_each_found(make):
+    mit, bsd = license_scan.NOTICES["MIT"][2], license_scan.NOTICES["BSD-3-Clause"][0]
+    changed = mit.replace("charge", "fee")
+    rows = [(1, f"{mit} qq zz {changed} qq zz {changed}"), (2, f"{bsd} {words(1, 40)} {mit}"), (3, " ".join([changed] * 9))]
+    got = {r.doc_id: r for r in license_scan.scan(make(rows)).collect()}
+    n = len(license_scan.words(mit))
+    assert [(x.license, x.first_word, x.last_word) for x in sorted(got[1].notices, key=lambda x: x.first_word)] == [("MIT", k * (n + 2), k * (n + 2) + n - 1) for k in range(3)]
+    assert got[1].license == "MIT" and got[1].coverage == 1 and got[1].n_notices == 3
+    assert {x.license for x in got[2].notices} == {"MIT", "BSD-3-Clause"}
+    assert sorted(x.first_word for x in got[3].notices) == [k * n for k in range(9)]
+
+
 # Token counts
 
 
