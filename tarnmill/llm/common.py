@@ -106,6 +106,18 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame, flag: str | None = None
     return found.drop("__slot", "__bit", "__bits")
 
 
+def with_hot_keys(rows: DataFrame, keys: DataFrame, on: list[str], share: int = 1000) -> DataFrame:
+    """The rows whose `on` is among those of keys(*on, n), n being how many rows have that key: a semi join that no key skews.
+
+    Fewer than `share` keys can have a `share`-th of all rows each; those are joined by broadcast, the others by a shuffle.
+    """
+    most = keys.agg(F.sum("n")).first()[0] or 0
+    hot = keys.filter(F.col("n") > most / share).select(*on)
+    cold = keys.filter(F.col("n") <= most / share).select(*on)
+    left = rows.join(F.broadcast(hot), on, "left_anti").join(cold.hint("merge"), on, "left_semi")
+    return left.unionByName(rows.join(F.broadcast(hot), on, "left_semi"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `most` text bytes each, one row at least."""
     for batch in batches:

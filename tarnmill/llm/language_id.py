@@ -50,13 +50,26 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 def grams(text: str, buckets: int) -> np.ndarray:
     """The hashed 2- to 4-grams of a text's words, each word with a boundary on both sides."""
-    codes = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    return np.concatenate(list(gram_parts(text, buckets)) or [np.zeros(0, np.int64)])
+
+
+def gram_parts(text: str, buckets: int) -> Iterator[np.ndarray]:
+    """grams() of a text of any length, some SEGMENT places of it at a time; each gram is in the part where it starts."""
+    padded = f" {text} ".lower()
+    for at in range(0, len(padded), SEGMENT):
+        yield _grams(padded[at : at + SEGMENT + max(GRAMS) - 1], buckets)
+
+
+def _grams(part: str, buckets: int) -> np.ndarray:
+    """The grams that start within the first SEGMENT places of some lower-cased text."""
+    codes = np.frombuffer(part.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     codes[~_is_letter(codes)] = 0
     out = []
     for n in GRAMS:
         if len(codes) < n:
             continue
-        parts = [codes[i : len(codes) - n + 1 + i] for i in range(n)]
+        starts = min(len(codes) - n + 1, SEGMENT)
+        parts = [codes[i : starts + i] for i in range(n)]
         keep = np.ones(len(parts[0]), bool)
         for p in parts[1:-1]:
             keep &= p != 0
@@ -69,17 +82,11 @@ def grams(text: str, buckets: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def segments(text: str) -> Iterator[str]:
-    """A long text in parts; a gram that spans two parts is read in neither, which moves a mean of thousands by nothing."""
-    for at in range(0, len(text), SEGMENT):
-        yield text[at : at + SEGMENT]
-
-
 def counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that a text's grams fall in, and how many in each; a text of any length has at most `buckets` of them."""
     total = np.zeros(buckets, np.int64)
-    for part in segments(text):
-        total += np.bincount(grams(part, buckets), minlength=buckets)
+    for part in gram_parts(text, buckets):
+        total += np.bincount(part, minlength=buckets)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -131,8 +138,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets
 def predict_one(model: LanguageModel, text: str | None) -> tuple[str, float, bool]:
     """(language, calibrated probability, rejected)."""
     total, n = np.zeros(len(model.languages)), 0
-    for part in segments(text or ""):
-        g = grams(part, len(model.logits))
+    for g in gram_parts(text or "", len(model.logits)):
         total += model.logits[g].sum(0, dtype=np.float64)
         n += len(g)
     if not n or not model.languages:

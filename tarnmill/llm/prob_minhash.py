@@ -9,7 +9,7 @@ pairs from buckets are links if the Jaccard similarity of their shingle sets is
 
 Equal texts fold into one class before banding, and large buckets are compared as in components.py, so no group's pairs
 are all written out. Null text counts as empty; empty texts are one class. Groups are connected; the row with the
-smallest doc_id (null last, then the first read) stays. Extra
+smallest doc_id (null last, then the smallest row number) stays. Extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -124,17 +124,16 @@ def sketch(rows: DataFrame, bands: int, band_rows: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(id, grams): the 32-bit hashes of the distinct shingles of rows(id, text)."""
+    """(id, grams): the 64-bit hashes of the distinct shingles of rows(id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             n = batch.num_rows
             owner, elements, _ = shingles(batch.column("text").to_pylist())
             offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-            values = (elements & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))], ["id", "grams"])
 
-    return rows.mapInArrow(run, "id long, grams array<int>")
+    return rows.mapInArrow(run, "id long, grams array<long>")
 
 
 def compare_blocks(apart: DataFrame, sets: DataFrame, similarity: float, side: int = 256) -> DataFrame:
@@ -165,7 +164,7 @@ def compare_blocks(apart: DataFrame, sets: DataFrame, similarity: float, side: i
                 test = (yc != xc[k]) & ((yc == main) | (xi[k] < yi)) & ~(yb == xb[k]).any(1)
                 if not test.any():
                     continue
-                hit = np.concatenate([[0], np.cumsum(np.isin(grams, np.array(mine, np.int32)))])
+                hit = np.concatenate([[0], np.cumsum(np.isin(grams, np.array(mine, np.int64)))])
                 shared = hit[ends[1:]] - hit[ends[:-1]]
                 near = np.flatnonzero(test & (shared >= similarity * (len(mine) + sizes - shared)))
                 for at in near[np.unique(yc[near], return_index=True)[1]]:

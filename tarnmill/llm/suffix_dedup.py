@@ -8,8 +8,10 @@ each on what the one before left open; Spark's own external sort takes the place
 2. Within segments the same is done with 360-byte substrings. The windows of one anchor form a run; a run whose whole text
    occurs twice is repeated in full, which settles the inside of every long repeat at one row a run.
 3. Runs that share an anchor value but not their text lie at the edges of repeats: their windows, of one run for each
-   text, are compared one by one by 128 bits.
+   text, are compared one by one.
 
+The anchors only propose: runs and windows count as equal by a 128-bit BLAKE2b digest of their bytes, documents by SHA-256.
+Keys that a thousandth of all rows share are few and are joined by broadcast, so no repeated passage fills one task.
 Equal documents are folded before the first round. Anchors and runs depend on a window's bytes alone, so segments are
 read independently, in pieces of bounded size. Null text counts as empty. Matches never cross documents; every repeated
 row is a document. Extra columns are ignored; an empty table
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import drop_staged, maybe_in, numbered, slices, staged
+from tarnmill.llm.common import drop_staged, maybe_in, numbered, slices, staged, with_hot_keys
 from tarnmill.llm.prob_minhash import mix
 
 BASE = 0x9E3779B97F4A7C15
@@ -60,8 +62,12 @@ class Rolling:
         n = self.n - k + 1
         return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
 
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(BASE))
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) longs: the BLAKE2b digests, of 128 bits, of n stretches of some bytes."""
+    view = memoryview(data)
+    found = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +106,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Replaces text of docs(row, doc_id, h1, h2, text) by n_bytes and anchors, its anchor values (twice if at two places)."""
+    """Replaces text of docs(row, doc_id, digest, text) by n_bytes and anchors, its anchor values (twice if at two places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
@@ -116,9 +122,9 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 values += found
             flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(signed(flat)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "h1", "h2")), pa.array(sizes, pa.int64()), lists], ["row", "doc_id", "h1", "h2", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "digest")), pa.array(sizes, pa.int64()), lists], ["row", "doc_id", "digest", "n_bytes", "anchors"])
 
-    return docs.select("row", "doc_id", "h1", "h2", "text").mapInArrow(run, "row long, doc_id long, h1 long, h2 long, n_bytes long, anchors array<long>")
+    return docs.select("row", "doc_id", "digest", "text").mapInArrow(run, "row long, doc_id long, digest binary, n_bytes long, anchors array<long>")
 
 
 def segments(open_docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -142,75 +148,78 @@ def segments(open_docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def segment_runs(parts: DataFrame, length: int, k: int) -> DataFrame:
-    """(sid, first, end, value, whole, twice) for the runs of parts(sid, bytes); whole hashes a run's text."""
+    """(sid, first, end, value, a, b, twice) for the runs of parts(sid, bytes); a and b are the digest of a run's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["sid", "first", "end", "value", "whole", "twice"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        names, kinds = ["sid", "first", "end", "value", "a", "b", "twice"], [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.bool_()]
         for batch in slices(batches, "bytes", 4 << 20):
             out: list[list[np.ndarray]] = [[] for _ in names]
             for sid, data in zip(batch.column("sid").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 rolling = Rolling(data)
                 value, first, end, twice = runs(rolling, length, k)
-                whole = rolling.span(first, end + length - 1)
-                for column, x in zip(out, (np.full(len(value), sid), first, end, signed(value), signed(whole), twice), strict=True):
+                a, b = digests(data, first, end + length - 1).T
+                for column, x in zip(out, (np.full(len(value), sid), first, end, signed(value), a, b, twice), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), kind) if kind != pa.bool_() else pa.array(np.concatenate(c).astype(bool) if c else np.zeros(0, bool)) for c, kind in zip(out, kinds, strict=True)], names)
 
-    return parts.select("sid", "bytes").mapInArrow(run, "sid long, first int, end int, value long, whole long, twice boolean")
+    return parts.select("sid", "bytes").mapInArrow(run, "sid long, first int, end int, value long, a long, b long, twice boolean")
 
 
 def window_hashes(parts: DataFrame, length: int) -> DataFrame:
-    """(sid, at, a, b): 128 bits of each window of the runs listed in parts(sid, bytes, spans)."""
+    """(sid, at, a, b): the digest of each window of the runs listed in parts(sid, bytes, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 20):
             sids, places, one, two = [], [], [], []
             for sid, data, spans in zip(*(batch.column(c).to_pylist() for c in ("sid", "bytes", "spans")), strict=True):
-                rolling = Rolling(data)
                 at = np.unique(np.concatenate([np.arange(s["first"], s["end"]) for s in spans]))
-                h = rolling.windows(length)[at]
-                half = rolling.span(at, at + length // 2) + mix(rolling.span(at + length // 3, at + length))
-                sids.append(np.full(len(at), sid))
-                places.append(at)
-                one.append(signed(h))
-                two.append(signed(mix(half)))
+                a, b = digests(data, at, at + length).T
+                for column, x in zip((sids, places, one, two), (np.full(len(at), sid), at, a, b), strict=True):
+                    column.append(x)
             columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (sids, places, one, two)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["sid", "at", "a", "b"])
 
     return parts.select("sid", "bytes", "spans").mapInArrow(run, "sid long, at int, a long, b long")
 
 
+def islands(windows: DataFrame) -> DataFrame:
+    """(sid, first, end): neighbouring windows of windows(sid, at) as one span."""
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("at"))
+    spans = windows.withColumn("island", F.col("at") - place).groupBy("sid", "island")
+    return spans.agg(F.min("at").alias("first"), (F.max("at") + 1).alias("end")).drop("island")
+
+
 def repeated_spans(docs: DataFrame, length: int, wide: int, narrow: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs(row, doc_id, h1, h2, text): all rows (row, doc_id, h1, h2, n_bytes, n, head), and (row, spans) of heads.
+    """Of docs(row, doc_id, digest, text): all rows (row, doc_id, digest, n_bytes, n, head), and (row, spans) of heads.
 
     n rows share a text, head is the first of them; spans are the places of repeated windows, as (first, end) of windows.
     """
     sketch = staged(anchors(docs, length, wide), "anchors")
-    copies = sketch.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row").alias("head"))
-    rows = staged(sketch.select("row", "doc_id", "h1", "h2", "n_bytes").join(copies, ["h1", "h2"]), "rows")
+    copies = sketch.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("head"))
+    rows = staged(sketch.select("row", "doc_id", "digest", "n_bytes").join(copies, "digest"), "rows")
     heads = sketch.select("row", "anchors").join(rows.filter("row = head").select("row"), "row", "left_semi")
     values = staged(heads.select("row", F.explode("anchors").alias("value")), "values")
-    many = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value")
-    repeated = staged(values.join(many, "value", "left_semi").groupBy("row").agg(F.collect_set("value").alias("repeated")), "repeated")
-    drop_staged(values)
+    many = staged(values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1"), "many")
+    repeated = staged(with_hot_keys(values, many, ["value"]).groupBy("row").agg(F.collect_set("value").alias("repeated")), "repeated")
+    drop_staged(values, many)
     open_docs = maybe_in(docs.select("row", "text"), "row", repeated).join(repeated.hint("merge"), "row")
     parts = staged(segments(open_docs, length, wide).withColumn("sid", F.monotonically_increasing_id()), "segments")
     drop_staged(sketch, repeated)
 
     found = staged(segment_runs(parts, length, narrow), "runs")
-    texts = found.groupBy("value", "whole").agg(F.count("*").alias("n"), F.min(F.struct("sid", "first", "end")).alias("one"), F.max("twice").alias("twice"))
+    texts = found.groupBy("value", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("sid", "first", "end")).alias("one"), F.max("twice").alias("twice"))
     texts = staged(texts, "texts")
-    kinds = texts.groupBy("value").agg(F.count("*").alias("kinds"), F.max("twice").alias("again")).filter("kinds > 1 or again").select("value")
-    full = found.join(texts.filter("n > 1").select("value", "whole"), ["value", "whole"], "left_semi").select("sid", "first", "end")
-    edges = texts.join(kinds, "value", "left_semi").select("one.sid", F.struct("one.first", "one.end").alias("span"))
+    kinds = staged(texts.groupBy("value").agg(F.count("*").alias("n"), F.max("twice").alias("again")).filter("n > 1 or again").select("value", "n"), "kinds")
+    full = with_hot_keys(found, texts.filter("n > 1").select("value", "a", "b", "n"), ["value", "a", "b"]).select("sid", "first", "end")
+    edges = with_hot_keys(texts.select("value", "one"), kinds, ["value"]).select("one.sid", F.struct("one.first", "one.end").alias("span"))
     edges = edges.groupBy("sid").agg(F.collect_list("span").alias("spans"))
     windows = staged(window_hashes(parts.join(edges.hint("merge"), "sid"), length), "windows")
-    twin = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    single = windows.join(twin, ["a", "b"], "left_semi").select("sid", F.col("at").alias("first"), (F.col("at") + 1).alias("end"))
+    twin = staged(windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), "twins")
+    single = islands(with_hot_keys(windows, twin, ["a", "b"]).select("sid", "at"))
     places = parts.select("sid", "row", "start")
     spans = full.unionByName(single).join(places, "sid").select("row", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")).alias("span"))
     spans = staged(spans.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
-    drop_staged(parts, found, texts, windows)
+    drop_staged(parts, found, texts, kinds, windows, twin)
     return rows, spans
 
 
@@ -234,7 +243,7 @@ def dedup(docs: DataFrame, length: int = 400, wide: int = 200, narrow: int = 360
         raise ValueError("0 < wide < narrow < length")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = numbered(docs, "__row").select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    base = base.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
+    base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
     rows, spans = repeated_spans(base, length, wide, narrow)
     copies = rows.filter((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("row")
     touched = staged(spans.select("row").unionByName(copies).distinct(), "touched")

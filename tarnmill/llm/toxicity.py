@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import bounded_sample, held_out, slices
+from tarnmill.llm.common import bounded_sample, drop_staged, held_out, slices, staged
 
 WORD = re.compile(r"\w+")
 WINDOW = 6
@@ -33,6 +33,7 @@ QUOTES = "\"'“”„«»‘’‹›"
 #: Words that report what somebody else said (fixed values).
 SPEECH = frozenset("said says say saying quote quoted quotes called calls word words wrote writes term slur insult insults shouted reported".split())
 FEATURES = 5
+STATES = 100_000  # an automaton that has made this many is begun anew, so a task's memory is bounded
 
 
 class FuzzyLexicon:
@@ -57,12 +58,16 @@ class FuzzyLexicon:
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], most)
             self.term[node] = t
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts the automaton anew, with no state made yet but the first."""
         self.ids: dict[frozenset, int] = {frozenset(): self.DEAD}
         self.sets: list[frozenset] = [frozenset()]
         self.steps: list[dict[str, int]] = [{}]
         self.accepts: list[tuple[str, int] | None] = [None]
         self.stems: list[tuple[int, str] | None] = [None]
-        self.start = self._state({(0, 0, "")} if terms else set())
+        self.start = self._state({(0, 0, "")} if self.limits else set())
 
     def _state(self, places: set[tuple[int, int, str]]) -> int:
         best: dict[tuple[int, str], int] = {}
@@ -100,6 +105,8 @@ class FuzzyLexicon:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(nearest term, edits), or None if no term is near enough."""
+        if len(self.sets) > STATES:
+            self._forget()
         state, stem = self.start, None
         for c in word:
             known = self.steps[state]
@@ -196,26 +203,29 @@ def learn_lexicon(train: DataFrame, size: int = 400, odds: float = 3.0, share: f
     """Terms of train(text, toxic) with log odds of at least `odds` that `share` of the toxic rows have, the surest `size`.
 
     A stem (four letters or more, written with a star) needs `endings` different words. What a stem covers is left out.
-    Terms that fewer than a share `sure` of the toxic rows have are taken as spelled; the second result has the edits.
+    Terms that fewer than a share `sure` of the toxic rows have are taken as spelled; the second result has the edits. A
+    whole term that more of them have stays beside a stem that covers it, since the stem may allow fewer edits.
     """
     total = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = int(total.t or 0), int((total.n or 0) - (total.t or 0))
     if not toxic or not clean:
         return {}, {}
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{3,}', 0)"))
-    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in range(4, 8)]
-    forms = train.select("toxic", F.explode(words).alias("word"), F.monotonically_increasing_id().alias("row"))
-    forms = forms.select("toxic", "row", "word", F.explode(F.array_compact(F.array("word", *stems))).alias("term"))
-    per_row = forms.groupBy("row", "toxic", "term").agg(F.count("*").alias("n"))
-    counts = per_row.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    stems = lambda w: [F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in range(4, 8)]
+    # A row counts once for a stem, however many of its words have it: the row's own terms are made distinct first.
+    terms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_compact(F.array(w, *stems(w))))))
+    counts = train.select("toxic", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    toxic_words = train.filter("toxic = 1").select(F.explode(words).alias("word"))
+    forms = toxic_words.select("word", F.explode(F.array_compact(F.array("word", *stems(F.col("word"))))).alias("term"))
     score = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     found = counts.filter(F.col("t") >= max(3, share * toxic)).withColumn("s", score).filter(F.col("s") >= odds)
     top = found.orderBy((F.col("s") * F.sqrt(F.col("t"))).desc(), "term").limit(8 * size)
-    variety = forms.filter("toxic = 1").join(F.broadcast(top), "term").groupBy("term", "s", "t").agg(F.approx_count_distinct("word").alias("endings"))
+    variety = forms.join(F.broadcast(top), "term").groupBy("term", "s", "t").agg(F.approx_count_distinct("word").alias("endings"))
     rows = variety.filter(f"not endswith(term, '*') or endings >= {endings}").collect()
     chosen: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (not r.term.endswith("*"), len(r.term), r.term)):
-        if not any(r.term.rstrip("*").startswith(x[:-1]) for x in chosen if x[-1] == "*"):
+        covered = any(r.term.rstrip("*").startswith(x[:-1]) for x in chosen if x[-1] == "*")
+        if not covered or (r.term[-1] != "*" and r.t >= sure * toxic):
             chosen[r.term] = float(r.s) * r.t**0.5
     kept = sorted(chosen, key=lambda t: (-chosen[t], t))[:size]
     odds_of = {r.term: float(r.s) for r in rows}
@@ -231,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, misspelled: fl
     spark = docs.sparkSession
     chosen = bounded_sample(labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")), F.col("doc_id"), sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # `sample` bounds the broadcast side
-    train = train.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int"))
+    train = staged(train.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int")), "labelled")
     model = ToxicityModel(*learn_lexicon(train))
     lexicon, edits = list(model.lexicon), model.edits
 
@@ -259,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, misspelled: fl
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
     rows = train.mapInArrow(measure, "x array<double>, toxic int").toArrow()
+    drop_staged(train)
     if not rows.num_rows:
         return model
     x, y = np.array(rows.column("x").to_pylist()).reshape(-1, FEATURES), np.array(rows.column("toxic").to_pylist(), float)

@@ -61,7 +61,15 @@ def test_long_texts_score_like_short_ones(multilingual):
         parts = language_id.predict_one(model, text)
     finally:
         language_id.SEGMENT = old
-    assert parts[0] == language_id.predict_one(model, text)[0] == "bb"
+    assert parts == language_id.predict_one(model, text) and parts[0] == "bb"
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 50])
+def test_cut_texts_have_the_grams_of_whole_ones(segment, monkeypatch):
+    text = "Kalo miru, İSTANBUL ΣΑΣ 😀 ß42 " + words(4, 30)
+    want = np.sort(language_id.grams(text, 1 << 16))
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
+    assert (np.sort(language_id.grams(text, 1 << 16)) == want).all()
 
 
 # Toxicity
@@ -99,6 +107,21 @@ def test_stems_take_any_ending():
     assert fuzzy.find("loweiung") == ("lowe*", 0) and fuzzy.find("lowa") is None and fuzzy.find("idoit") == ("idiot", 1)
 
 
+def test_a_document_counts_once_for_a_stem(spark):
+    rows = [(f"abcdone abcdtwo abcdthree abcdfour abcdfive {words(i, 5)}", 1) for i in range(3)] + [(words(i, 8), 0) for i in range(60)]
+    terms, edits = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), share=0.0)
+    assert terms["abcd*"] == pytest.approx(np.log(3.5 / 4) - np.log(0.5 / 61))
+    assert edits["abcd*"] == 0 and edits["abcdthree"] == 2  # a common whole term stays beside its stem
+
+
+def test_automaton_forgets_when_it_is_full(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 20)
+    fuzzy = toxicity.FuzzyLexicon(["idiot", "worthless"])
+    for i in range(300):
+        fuzzy.find(words(i, 1))
+        assert fuzzy.find("idoit") == ("idiot", 1) and len(fuzzy.sets) < 100
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng, docs, labels = random.Random(2), [], []

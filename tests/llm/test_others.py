@@ -177,12 +177,48 @@ def test_rollups_follow_every_change_once(spark, tmp_path):
     want = brute_totals(first[8:] + after)
     read = lambda: {(r.source, r.lang): (r.documents, r.tokens) for r in token_rollup.totals(spark, state).collect()}
     assert read() == want
-    os.remove(f"{state}/batch=2/_SUCCESS")  # as if the batch had failed half way: not counted, then written anew
+    for name in ("2", ".2.crc"):
+        os.remove(f"{state}/commits/{name}")  # as if the batch had failed before its commit: not counted, then written anew
     assert read() != want
     assert token_rollup.commit_batch(state, "2", token_rollup.images(make(gone), -1))
     assert read() == want
-    token_rollup.compact(spark, state, "base")
+    assert token_rollup.compact(spark, state) and not token_rollup.compact(spark, state)
     assert read() == want
+    for _ in range(2):  # batches that come again after compaction, and after the old files went
+        for name in "123":
+            assert not token_rollup.commit_batch(state, name, token_rollup.images(make(first), 1))
+        assert read() == want
+        token_rollup.clean(spark, state)
+    assert token_rollup.commit_batch(state, "a/b c", token_rollup.images(make(gone), 1)) and read() != want
+    assert token_rollup.compact(spark, state)
+    assert token_rollup.commit_batch(state, "5", token_rollup.images(make(gone), -1)) and read() == want
+
+
+def test_rollup_writers_and_crashes(spark, tmp_path, monkeypatch):
+    docs, state = spark.createDataFrame([("a", "en", words(1, 9))], "source string, lang string, text string"), str(tmp_path / "state")
+    changes, plain = token_rollup.images(docs, 1), token_rollup.delta
+
+    def overtaken(rows, tokenizers=None):  # another writer commits the same batch while this one is at work
+        monkeypatch.setattr(token_rollup, "delta", plain)
+        assert token_rollup.commit_batch(state, "1", changes)
+        return plain(rows, tokenizers)
+
+    monkeypatch.setattr(token_rollup, "delta", overtaken)
+    assert not token_rollup.commit_batch(state, "1", changes)
+    count = lambda: token_rollup.totals(spark, state).first().documents
+    assert count() == 1 and len(os.listdir(f"{state}/deltas/1")) == 1
+
+    publish = token_rollup.Store.publish
+    for module_call in (lambda: token_rollup.compact(spark, state), lambda: token_rollup.commit_batch(state, "2", changes)):
+        monkeypatch.setattr(token_rollup.Store, "publish", lambda *_: 1 / 0)  # dies when all but the last step is done
+        with pytest.raises(ZeroDivisionError):
+            module_call()
+        monkeypatch.setattr(token_rollup.Store, "publish", publish)
+        assert count() == 1
+    token_rollup.clean(spark, state)
+    assert count() == 1 and token_rollup.commit_batch(state, "2", changes) and count() == 2
+    assert token_rollup.compact(spark, state) and count() == 2
+    assert not token_rollup.Store(spark, state).publish("manifests/000000000001", "{}") and count() == 2
 
 
 # Pipeline
