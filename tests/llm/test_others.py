@@ -106,10 +106,33 @@ def test_decontamination_equals_alignment_of_all_pairs(spark, make):
     assert all(got[i].contaminated for i in [*range(60), 101])
 
 
-def test_blocks_of_items_give_the_same(make, items):
+def test_many_seeds_are_joined_by_a_shuffle(make, items, monkeypatch):
     rows = [(i, f"{words(i, 9)} {words(700 + i, 20 + i % 20)}") for i in range(40)]
     key = lambda r: (r.doc_id, r.item_id, round(r.similarity, 9))
-    assert sorted(map(key, decontaminate.scan(make(rows), items).collect())) == sorted(map(key, decontaminate.scan(make(rows), items, block=7).collect()))
+    want = sorted(map(key, decontaminate.scan(make(rows), items).collect()))
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", 0)
+    assert sorted(map(key, decontaminate.scan(make(rows), items).collect())) == want
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.75])
+def test_rare_seeds_lose_no_pair(spark, threshold):
+    rng, few = random.Random(5), "aa bb cc dd ee ff gg hh ii jj kk ll".split()
+    items = [(i, " ".join(rng.choice(few) for _ in range(1 + i % 9))) for i in range(27)]
+    texts = [(i, " ".join(rng.choice(few) for _ in range(i % 30))) for i in range(60)]
+    rows, tests = spark.createDataFrame(texts, "row long, text string"), spark.createDataFrame(items, "item long, text string")
+    found = {tuple(r) for r in decontaminate.candidates(rows, tests, threshold).collect()}
+    for i, t in texts:
+        for k, x in items:
+            score = align_brute(x.split(), t.split()) * 2 * len(x.split())
+            assert score < decontaminate.needed(len(x.split()), threshold) or (i, k) in found, (t, x)
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["Kalo_miru, ab12\ncd 😀é ΣΑΣ", None, "", "İx ½ ²y", "a"]
+    owner, h = decontaminate.word_hashes(texts)
+    want = [(i, w) for i, t in enumerate(texts) for w in decontaminate.words(t)]
+    assert owner.tolist() == [i for i, _ in want]
+    assert len(dict(zip([w for _, w in want], h.tolist()))) == len(set(h.tolist())) == len({w for _, w in want})
 
 
 def test_no_items_and_no_documents(make, items):
