@@ -7,9 +7,10 @@ copy with four words in ten replaced still has 0.4.
 Seeds are pairs of words with at most one word between them. They lose no pair that reaches the threshold t: between two
 matched words that follow each other, an alignment pays one for each word skipped, and of its links at most a score of
 two each comes from those that skip one word or none. So an item of n words has at least t * n - 1 such links, each from
-another place of the item. Places are therefore seeded from the rarest on, by the number of texts that hold their seeds,
-until as many are left unseeded as links less one: one link must be a seed. So common word pairs are not joined, whatever
-the corpus repeats. Where that leaves no link (items of one word, very low thresholds) single words are the seeds.
+another place of the item. Places are therefore seeded from the rarest on, by the number of texts that hold their seeds, until so
+few are left that HITS links at least must be seeds, and a text is joined with an item where it holds that many of them. So
+the commonest word pairs are not joined, whatever the corpus repeats. Where an item may have no link (items of one word,
+very low thresholds) single words are the seeds, and one is enough.
 
 One pass counts how many texts hold the items' seeds, one finds the rare ones; both only test bits of a set of bounded size
 and stay in the scan's partitions, whatever the size of the benchmark. What they find joins the items by seed, and texts
@@ -36,6 +37,7 @@ from tarnmill.llm.prob_minhash import GOLDEN, mix
 from tarnmill.llm.suffix_dedup import powers, signed
 
 WORD = re.compile(r"\w+")
+HITS = 4  # places of an item that a text must hold, or all its links if it has fewer
 SHORT = 3  # items of fewer words match as a whole only
 MOST_BITS = 1 << 27  # of the set of seeds that goes to every task
 FEW_SEEDS = 1 << 20  # so many rows are joined by broadcast, more by a shuffle
@@ -180,12 +182,14 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     counts = staged(seed_counts(docs, SeedSet(every.select("seed").distinct(), single)), "counts")
     places = every.join(counts, "seed", "left").groupBy("item", "n", "place").agg(F.sum(F.coalesce("texts", F.lit(0))).alias("texts"))
     order = F.row_number().over(Window.partitionBy("item").orderBy("texts", "place"))
-    # n - 1 places have a seed (all n if single words are the seeds); all but least - 1 of them are kept.
-    rare = places.withColumn("rank", order).filter(F.col("rank") <= F.when(least > 0, F.col("n") - least).otherwise(F.col("n"))).select("item", "place")
-    kept = staged(every.join(rare, ["item", "place"]).select("item", "seed").distinct(), "rare")
+    # n - 1 places have a seed; where `least` of them hold links and least - hits are not kept, `hits` are found.
+    hits_of = F.least(least, F.lit(HITS))
+    most = F.when(least > 0, F.col("n") - 1 - (least - hits_of)).otherwise(F.col("n"))
+    rare = places.withColumn("rank", order).filter(F.col("rank") <= most).select("item", "place", F.greatest(hits_of, F.lit(1)).alias("hits"))
+    kept = staged(every.join(rare, ["item", "place"]).select("item", "place", "hits", "seed").distinct(), "rare")
     hits = seed_hits(docs, SeedSet(kept.select("seed").distinct(), single))
-    found = hits.join(F.broadcast(kept) if kept.count() <= FEW_SEEDS else kept, "seed").select("row", "item").distinct()
-    found = staged(found, "candidates")
+    found = hits.join(F.broadcast(kept) if kept.count() <= FEW_SEEDS else kept, "seed").groupBy("row", "item", "hits").agg(F.count_distinct("place").alias("k"))
+    found = staged(found.filter("k >= hits").select("row", "item"), "candidates")
     drop_staged(every, counts, kept)
     return found
 
