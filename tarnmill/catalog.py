@@ -7,8 +7,6 @@ parents and children, events are chunk states.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +15,13 @@ from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
 from tarnmill.operators import chunking, jobs, neardup, refine, relational, retrieval, splitting
 from tarnmill.plans import page_scoring
+from tarnmill.registry import QUERIES, SQL, query, t  # noqa: F401
 from tarnmill.sources import readers, sinks
 from tarnmill.streaming import progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 W = T.WS_RE2
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return readers.read_table(spark, sf_dir, name)
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r02_bm25(spark, sf_dir)
 
@@ -215,8 +198,8 @@ def r05_f13_similarity_tiers(spark, sf_dir):
 
 @query("WITH e AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM e GROUP BY label, i")
 def a10_mean_vectors(spark, sf_dir):
-    parts = t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    return parts.groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("mean"))
+    means = V.group_mean(t(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("mean").alias("i", "x")).select("label", "i", F.round("x", 6).alias("mean"))
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
@@ -240,8 +223,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.build_index(t(spark, sf_dir, "documents"), "doc_id", "text")
     terms = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval.tokens(F.col("text"))).alias("term"))
+    index = retrieval.build_index(t(spark, sf_dir, "documents"), "doc_id", "text", terms)
     return retrieval.bm25(*index, terms, "doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -393,7 +376,7 @@ def a01_j03_root_status(spark, sf_dir):
 
 @query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_version, count(*) AS n FROM orders")
 def a05_a06_counters(spark, sf_dir):
-    return t(spark, sf_dir, "orders").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_version"), F.count("*").alias("n"))
+    return relational.counters(t(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query("SELECT source AS uid, count(*) AS files FROM documents GROUP BY source ORDER BY uid")
@@ -412,33 +395,32 @@ def a08_build_counts(spark, sf_dir):
 
 @query("SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' AND l.l_returnflag <> ''")
 def j01_f12_parents_with_children(spark, sf_dir):
-    orders = t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    return orders.join(t(spark, sf_dir, "lineitem").filter("l_returnflag <> ''"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = t(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return relational.usable_contents(orders, lines, "o_orderkey", F.col("o_orderstatus") == "F", "l_returnflag").select("o_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) SELECT n_name, c_custkey FROM r JOIN nation ON n_nationkey = c_nationkey WHERE n = 1")
 def j02_newest_match(spark, sf_dir):
-    best = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max(F.struct("c_acctbal", (-F.col("c_custkey")).alias("k"))).alias("b"))
-    return best.join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", (-F.col("b.k")).alias("c_custkey"))
+    best = relational.newest(t(spark, sf_dir, "customer"), ["c_nationkey"], [-F.col("c_acctbal"), F.col("c_custkey")])
+    return best.join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey")
 
 
 @query("WITH n AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN n ON n.o_orderkey = l.l_orderkey")
 def f03_f16_latest_parent_children(spark, sf_dir):
-    newest = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("l_orderkey"))
-    return t(spark, sf_dir, "lineitem").join(newest, "l_orderkey").select("l_orderkey", "l_linenumber")
+    newest = relational.newest(t(spark, sf_dir, "orders"), ["o_custkey"], [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), -F.col("o_orderkey")])
+    return t(spark, sf_dir, "lineitem").join(newest.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
 def j08_existence(spark, sf_dir):
     customers, orders = t(spark, sf_dir, "customer").select("c_custkey"), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return customers.join(orders, "c_custkey", "left_semi").withColumn("has_orders", F.lit(True)).unionByName(customers.join(orders, "c_custkey", "left_anti").withColumn("has_orders", F.lit(False)))
+    return relational.with_existence(customers, orders, "c_custkey", "has_orders")
 
 
 @query("SELECT a.n_nationkey, b.n_name AS parent FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_regionkey")
 def j07_parent_lookup(spark, sf_dir):
-    nations = t(spark, sf_dir, "nation")
-    parents = nations.select(F.col("n_nationkey").alias("n_regionkey"), F.col("n_name").alias("parent"))
-    return nations.join(parents, "n_regionkey", "left").select("n_nationkey", "parent")
+    return relational.with_parent(t(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", "n_name", "parent").select("n_nationkey", "parent")
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_acctbal > 5000 THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, c_name, 'NEW' FROM customer WHERE c_acctbal < 0")
@@ -461,6 +443,14 @@ def k07_insert_absent(spark, sf_dir):
     return relational.insert_absent(old, t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n_nationkey")), "n_nationkey")
 
 
+@query("WITH n AS (SELECT * FROM lineitem WHERE l_quantity > 25) SELECT l_orderkey, l_linenumber, l_returnflag FROM n WHERE l_returnflag <> 'R' UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n)")
+def k03_replaced_rows(spark, sf_dir):
+    """The table after the replacement: named parents have the complete new rows, other parents what they had."""
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    new = rows.filter("l_quantity > 25").withColumn("l_returnflag", F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")))
+    return relational.replace_children(rows, new, "l_orderkey", ["l_returnflag"])[0].drop("l_quantity")
+
+
 @query("SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS inserted, count(*) FILTER (l_returnflag = 'R') AS skipped FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey")
 def k03_replace_children(spark, sf_dir):
     rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("l_returnflag"), "l_quantity")

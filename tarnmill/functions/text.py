@@ -20,6 +20,9 @@ ANSWER = r"(?iU)^\s*(a|answer|回答|答え)[:：]\s*"
 #: File kinds by substrings of format names and media types, in order of priority (fixed values).
 KINDS = (("csv", ("csv",)), ("pdf", ("pdf",)), ("json", ("json",)), ("html", ("html",)), ("text", ("text", "txt")))
 
+#: The characters of WS themselves, for trimming ends without a pattern.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 sub = F.regexp_replace
 
 
@@ -29,7 +32,7 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space (any of Unicode's) at both ends."""
-    return sub(text(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(text(c), F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -166,6 +169,46 @@ def is_object_path(c: Column) -> Column:
     return s.startswith("users/") | s.startswith("template/") | ((F.regexp_count(s, F.lit("/")) >= 2) & F.element_at(F.split(s, "/"), -1).contains("."))
 
 
+def dataset_id(id_: Column, name: Column) -> Column:
+    """A dataset's id: its own, or its name."""
+    return collapse(first_text([id_, name], ""))
+
+
+def dataset_title(title: Column, name: Column, id_: Column, default: str = "オープンデータ") -> Column:
+    return collapse(first_text([title, name, id_], default))
+
+
+def resource_extension(declared: Column, url: Column) -> Column:
+    """A resource's declared format in lower case, or its address's suffix where none is declared."""
+    return F.coalesce(F.nullif(F.lower(collapse(declared)), F.lit("")), extension(url))
+
+
+def upload_extension(ext: Column) -> Column:
+    """An upload's suffix in lower case; `text` is `txt`."""
+    s = F.lower(strip(ext))
+    return F.when(s == "text", "txt").otherwise(s)
+
+
+#: Media types by suffix (fixed values); anything else is a stream of bytes.
+MEDIA_TYPES = {
+    "opendata": {"pdf": "application/pdf", "csv": "text/csv; charset=utf-8", "json": "application/json; charset=utf-8"},
+    "upload": {"txt": "text/plain; charset=utf-8", "text": "text/plain; charset=utf-8", "log": "text/plain; charset=utf-8", "md": "text/plain; charset=utf-8", "json": "application/json", "csv": "text/csv; charset=utf-8", "pdf": "application/pdf"},
+}
+
+
+def media_type(ext: Column, source: str) -> Column:
+    """The media type that a download of a source's file is sent as."""
+    found = F.lit("application/octet-stream")
+    for suffix, kind in MEDIA_TYPES[source].items():
+        found = F.when(F.lower(text(ext)) == suffix, kind).otherwise(found)
+    return found
+
+
+def record_text(kind: Column, record: Column, body: Column) -> Column:
+    """A record as text: a table row's cells as pairs, the text of any other."""
+    return F.when(kind == "csv", pairs_text(record)).otherwise(text(body))
+
+
 def pairs_text(record: Column) -> Column:
     """A map of cells as `key: value | key: value`; pairs with neither are left out."""
     entries = F.filter(F.map_entries(record), lambda e: (strip(e["key"]) != "") | (strip(e["value"]) != ""))

@@ -41,3 +41,27 @@ def completed(jobs: DataFrame) -> DataFrame:
 
 def monitored(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.lower("status").isin("running", "error"))
+
+
+def job_records(requests: DataFrame, requested_at: Column) -> DataFrame:
+    """Job rows of requests(job_id, source_type, source_name, request_type, selected_count, preview_only): a preview is done at once."""
+    nothing, none = F.lit(0), F.lit(None).cast("timestamp")
+    status = F.when(F.coalesce("preview_only", F.lit(False)), "done").otherwise("new")
+    return requests.select(
+        "job_id", "source_type", "source_name", "request_type", status.alias("status"), "selected_count", nothing.alias("qa_count"), nothing.alias("plain_count"), nothing.alias("error_count"),
+        requested_at.alias("requested_at"), none.alias("started_at"), none.alias("finished_at"), F.lit(None).cast("string").alias("error_message"),
+    )
+
+
+def job_item_records(items: DataFrame, created_at: Column) -> DataFrame:
+    """Item rows of items(job_item_id, job_id, source_type, parent_source_id, parent_label, row_count), all new."""
+    none = F.lit(None).cast("timestamp")
+    return items.select(
+        "job_item_id", "job_id", "source_type", "parent_source_id", "parent_label", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit("new").alias("status"), F.lit(0).alias("knowledge_count"),
+        F.lit(None).cast("string").alias("error_message"), created_at.alias("created_at"), none.alias("started_at"), none.alias("finished_at"),
+    )
+
+
+def chunk_records(chunks: DataFrame, job: str = "job_item_id") -> DataFrame:
+    """Chunk rows, each queued as new under the id of its job item and number."""
+    return chunks.withColumns({"chunk_id": F.concat_ws(":", F.col(job).cast("string"), F.col("chunk_no").cast("string")), "status": F.lit("new"), "error_message": F.lit(None).cast("string")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -76,20 +77,25 @@ def fill_embeddings(entries: DataFrame, embed: Callable[[Sequence[str]], Sequenc
     return entries.filter(~missing).unionByName(entries.filter(missing).mapInArrow(run, entries.schema))
 
 
-def execute_chunks(chunks: DataFrame, generate: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """Adds response and error to chunks(chunk_id, prompt, ...) by a generator that is tried again on failure."""
+def execute_chunks(chunks: DataFrame, generate: Callable[[str], str], tries: int = 3, pause: float = 2.0) -> DataFrame:
+    """Adds response and error to chunks(chunk_id, prompt, ...) by a generator that is tried again on failure.
+
+    After the n-th failure it waits n times `pause` seconds; after the last one the chunk keeps the error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             replies, errors = [], []
             for prompt in batch.column("prompt").to_pylist():
                 reply = error = None
-                for _ in range(tries):
+                for n in range(1, tries + 1):
                     try:
                         reply, error = generate(prompt or ""), None
                         break
                     except Exception as e:  # whatever the service raised is kept on the chunk
                         error = str(e)
+                        if n < tries:
+                            time.sleep(pause * n)
                 replies.append(reply)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, "response", "error"])

@@ -81,3 +81,54 @@ def merge_status(status: Column, updates: Column, dropped_prefix: str = "refine_
     """A status map without its legacy keys, overlaid by the updates."""
     kept = F.map_filter(status, lambda k, _: ~k.startswith(dropped_prefix) & ~F.map_contains_key(updates, k))
     return F.map_concat(kept, updates)
+
+
+def transition(rows: DataFrame, chosen: Column, status: str, now: Column) -> DataFrame:
+    """rows with the chosen ones in a new status: started_at is kept where it is set, finished_at is now, the error goes.
+
+    Columns that rows lack are left out, as is a null choice.
+    """
+    hit = F.coalesce(chosen, F.lit(False))
+    values = {"status": F.lit(status), "started_at": F.coalesce("started_at", now) if "started_at" in rows.columns else None, "finished_at": now, "error_message": F.lit(None)}
+    return rows.withColumns({k: F.when(hit, v).otherwise(F.col(k)).cast(rows.schema[k].dataType) for k, v in values.items() if k in rows.columns})
+
+
+def newest(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row a key, the first by `order`; found with partial aggregates, so no key's rows meet in one task.
+
+    Orders compare upwards: give a descending number negated, or an instant as its negated microseconds.
+    """
+    found = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row"))
+    return found.select("__row.*")
+
+
+def usable_contents(pages: DataFrame, contents: DataFrame, key: str, usable: Column, body: str) -> DataFrame:
+    """pages with their contents on `key`: usable pages whose body is not blank."""
+    return pages.filter(usable).join(contents.filter(F.coalesce(F.trim(body), F.lit("")) != ""), key)
+
+
+def with_parent(rows: DataFrame, address: str, parent_address: str, key: str, name: str = "parent_id") -> DataFrame:
+    """rows with the key of the row whose address is their parent's; null for a root or an unknown parent."""
+    parents = rows.groupBy(F.col(address).alias(parent_address)).agg(F.min(key).alias(name))
+    return rows.join(parents, parent_address, "left")
+
+
+def with_existence(rows: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with whether `other` has their key."""
+    return rows.join(other.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def counters(rows: DataFrame, version: str) -> DataFrame:
+    """One row: the version after the highest one, and how many rows there are."""
+    return rows.agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"), F.count("*").alias("n"))
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, or none."""
+    return rows.filter(F.col(key) == value).limit(1)
+
+
+def replace_content(contents: DataFrame, fresh: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """One content a page: the last fresh one by `order` in place of all old ones, old ones of other pages as they were."""
+    last = newest(fresh, [key], order).select(*contents.columns)
+    return contents.join(last.select(key), key, "left_anti").select(*contents.columns).unionByName(last)

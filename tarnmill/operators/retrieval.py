@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
 
 K1, B = 1.2, 0.75
+QUERY_BLOCK = 20_000  # queries of a vector search that are broadcast at once: some 20 MB at 128 dimensions
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -34,6 +38,48 @@ def query_terms(query: str) -> list[str]:
     return list(out)
 
 
+#: Parts of speech that a query drops, that a query keeps as one letter, and that an index also takes in base form (fixed values).
+DROPPED, SINGLE, INFLECTED = ("助詞", "助動詞", "記号"), ("名詞",), ("動詞", "形容詞")
+MARKS = ("。", "、", ",", ".", "!", "?", "！", "？", "「", "」", "（", "）", "(", ")")
+ANALYSED = "array<struct<surface:string,base:string,pos:string>>"
+
+
+def analysed(rows: DataFrame, column: str, tokenize: Callable[[str], Sequence[tuple[str, str | None, str]]], name: str = "tokens") -> DataFrame:
+    """rows with the tokens (surface, base form, part of speech) that a tokenizer finds in a text column; none in blank texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[dict(zip(("surface", "base", "pos"), t, strict=True)) for t in tokenize(x)] if x and x.strip() else [] for x in batch.column(column).to_pylist()]
+            kind = pa.list_(pa.struct([(k, pa.string()) for k in ("surface", "base", "pos")]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, S.StructType([*rows.schema.fields, S.StructField(name, S.DataType.fromDDL(ANALYSED))]))
+
+
+def _base(t: Column) -> Column:
+    found = T.strip(t["base"])
+    return F.when((found == "") | (found == "*"), T.strip(t["surface"])).otherwise(found)
+
+
+def index_terms(tokens: Column) -> Column:
+    """The distinct terms that an index takes of analysed tokens: surfaces of two letters or more, and the base forms of verbs and adjectives."""
+
+    def terms(t: Column) -> Column:
+        surface, base = T.strip(t["surface"]), _base(t)
+        first = F.when((F.length(surface) >= 2) & ~surface.isin(*MARKS), surface)
+        second = F.when(t["pos"].isin(*INFLECTED) & (F.length(base) >= 2) & (base != surface) & (surface != ""), base)
+        return F.array_compact(F.array(first, second))
+
+    return F.array_distinct(F.flatten(F.transform(tokens, terms)))
+
+
+def asked_terms(tokens: Column) -> Column:
+    """The distinct terms that a query asks for: base forms without particles, auxiliaries and symbols; of single letters only digits and nouns."""
+    kept = F.filter(tokens, lambda t: (T.strip(t["surface"]) != "") & ~F.coalesce(t["pos"].isin(*DROPPED), F.lit(False)))
+    kept = F.filter(kept, lambda t: (F.length(_base(t)) > 1) | _base(t).rlike(r"(?U)^\d$") | F.coalesce(t["pos"].isin(*SINGLE), F.lit(False)))
+    return F.array_distinct(F.transform(kept, _base))
+
+
 def search_text(*fields: Column) -> Column:
     """The distinct collapsed fields, then each field's distinct index tokens."""
     parts = F.array_distinct(F.filter(F.array(*[T.collapse(f) for f in fields]), lambda x: x != ""))
@@ -41,22 +87,41 @@ def search_text(*fields: Column) -> Column:
     return F.array_join(F.concat(parts, found), " ")
 
 
-def build_index(entries: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """postings(term, key, tf, dl) and stats(n, avgdl) over all rows of entries."""
+#: Rows of a small table that a broadcast may hold; larger ones are shuffled or taken in blocks.
+SMALL = 1 << 18
+
+
+def small(df: DataFrame, most: int = SMALL) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def build_index(entries: DataFrame, key: str, column: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """postings(term, key, tf, dl) and stats(n, avgdl) over all rows of entries.
+
+    With terms(term), for an index that only serves some queries, other tokens are dropped before anything is summed.
+    """
     listed = entries.select(key, tokens(F.col(column)).alias("terms")).withColumn("dl", F.size("terms"))
-    postings = listed.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    each = listed.select(key, "dl", F.explode("terms").alias("term"))
+    if terms is not None:
+        wanted = terms.select("term").distinct()
+        each = each.join(F.broadcast(wanted) if small(wanted) else wanted, "term", "left_semi")
+    postings = each.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     return postings, listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) for terms(query_id, term): lower is better, as a rank column is sorted upwards.
 
-    Document frequencies count once a term; only postings of the query's terms are kept before anything is summed.
+    Document frequencies count once a term. Terms with their frequencies are as many as the queries have: where they are
+    few they go to the postings, so a common term's postings stay where they are and are summed there first.
     """
     wanted = terms.distinct()
-    found = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    few = small(wanted)
+    chosen = wanted.select("term").distinct()
+    found = postings.join(F.broadcast(chosen) if few else chosen, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    weighed = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    hits = found.join(F.broadcast(weighed) if few else weighed, "term")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", key).agg((-F.sum(idf * weight)).alias("score"))
@@ -75,8 +140,16 @@ def tiered(hits: DataFrame, by: list[str], strong: Column, weak: Column, order:
 
 
 def vector_hits(queries: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, score): cosine of every entry's embedding with each of a few queries(query_id, vector); invalid pairs are left out."""
-    pairs = entries.select(key, "embedding").crossJoin(F.broadcast(queries.select("query_id", "vector")))  # queries: a handful
+    """(query_id, key, score): cosine of every entry's embedding with each of queries(query_id, vector); invalid pairs are left out.
+
+    Queries are taken in blocks of about QUERY_BLOCK, each broadcast over the entries, so what is broadcast is bounded
+    whatever their number.
+    """
+    asked = queries.select("query_id", "vector")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    parts = [entries.select(key, "embedding").crossJoin(F.broadcast(asked.filter(block == b))) for b in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, parts)
     return pairs.select("query_id", key, V.cosine(F.col("vector"), F.col("embedding")).alias("score")).filter("score >= 0")
 
 
@@ -156,7 +229,7 @@ def search(spark: SparkSession, entries: DataFrame, query: str, mode: str, confi
     if mode == "ai_answer":
         return spark.createDataFrame([("q", answer(query, "") if answer else NOTHING_FOUND)], "query_id string, answer string")
     terms = spark.createDataFrame([("q", t) for t in query_terms(query)], "query_id string, term string")
-    index = build_index(entries, "entry_id", "search_text")
+    index = build_index(entries, "entry_id", "search_text", terms)
     if mode == "plain_fts":
         return search_plain(entries, index, terms, settings)
     if embed is None:

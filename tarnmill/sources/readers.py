@@ -170,6 +170,67 @@ def crawl_order(edges: DataFrame, root: str, max_pages: int, max_depth: int) ->
     return out
 
 
+def read_details(listing: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """The detail records of the listed keys, each once, whatever the listing repeats; details come from a second endpoint.
+
+    Both are read_pages(); a listing or a detail table without the key is refused.
+    """
+    for df in (listing, details):
+        if key not in df.columns:
+            raise ValueError(f"no {key} in {df.columns}")
+    wanted = listing.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").select(key).distinct()
+    return details.join(wanted, key, "left_semi")
+
+
+def stored_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_size) of the files under a folder; their bytes are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("file_size"))
+
+
+def uploads(files: DataFrame, objects: DataFrame, path: str = "path") -> DataFrame:
+    """Upload rows, newest first, with the size of their object; null where it is missing."""
+    return files.join(objects, path, "left").withColumn("title", F.col("file_name")).orderBy(F.col("created_at").desc(), "file_id")
+
+
+def configured_sources(found: DataFrame) -> DataFrame:
+    """(source_key, label, url) of a configuration's sources array, trimmed; null entries are left out."""
+    each = found.select(F.explode("sources").alias("s")).filter("s is not null")
+    return each.select(*[T.strip(F.col(f"s.{c}")).alias(c) for c in ("source_key", "label", "url")])
+
+
+def upload_limits(found: Mapping | None, ext: str | None, prompt_type: str) -> Mapping:
+    """The chunk settings of an upload's suffix and prompt type, or the older ones of the prompt type alone.
+
+    Raises ValueError where neither is there.
+    """
+    suffix = (ext or "").strip().lower()
+    suffix = "txt" if suffix == "text" else suffix
+    section = (found or {}).get("upload") or {}
+    own = section.get(suffix)
+    settings = (own.get(prompt_type) if isinstance(own, Mapping) else None) or section.get(prompt_type)
+    if not settings:
+        raise ValueError(f"no chunk settings for upload.{suffix}.{prompt_type}")
+    return settings
+
+
+#: Source types that a request may name, and kinds of knowledge (fixed values).
+SOURCE_TYPES = ("kokkai", "opendata", "public_url", "upload")
+KNOWLEDGE_TYPES = ("qa", "plain")
+
+
+def checked_request(source_type: str, knowledge_type: str | None = None, db_name: str | None = None) -> tuple[str, str | None, str | None]:
+    """A request's names as they are used, or ValueError: known types, and a database name that is no path."""
+    if source_type not in SOURCE_TYPES:
+        raise ValueError(f"unsupported source_type: {source_type}")
+    kind = knowledge_type.strip().lower() if knowledge_type is not None else None
+    if kind is not None and kind not in KNOWLEDGE_TYPES:
+        raise ValueError("knowledge_type is qa or plain")
+    name = db_name.strip() if db_name is not None else None
+    if name is not None and (not name or "/" in name or "\\" in name or not name.endswith(".sqlite")):
+        raise ValueError(f"no database name: {db_name!r}")
+    return source_type, kind, name
+
+
 def config(found: Mapping | None, fallback: Mapping) -> dict:
     """A configuration, or the fallback where there is none."""
     return dict(found) if found else dict(fallback)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tarnmill import catalog
+from tarnmill import catalog, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
