@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
+from tarnmill.operators import neardup
 
 #: Where a long text may be cut, best first (fixed values): after sentence marks, after clause marks.
 CUTS = (re.compile(r"[。．！？!?]\s*"), re.compile(r"[、，,；;:]\s*"))
@@ -49,30 +50,30 @@ def split_long(text: str, most: int) -> list[str]:
 
 
 class Packer:
-    """One job's open chunk: items come in order, full chunks go out; only an open chunk's items are held."""
+    """One job's open chunk: items come in order as (length, key), full chunks go out; only an open chunk's items are held."""
 
     def __init__(self, limits: ChunkLimits):
         self.limits, self.held, self.start, self.number = limits, [], 0, 0
 
     def fitting(self) -> int:
         n = chars = 0
-        for text, _ in self.held:
-            more = len(text) + 2 * (n > 0)
+        for length, _ in self.held:
+            more = length + 2 * (n > 0)
             if n and (n >= self.limits.max_items or chars + more > self.limits.max_chars):
                 break
             n, chars = n + 1, chars + more
         return n
 
-    def out(self, n: int) -> tuple[int, int, int, list[str], str]:
+    def out(self, n: int) -> tuple[int, int, list[int]]:
         self.number += 1
-        return self.number, self.start, self.start + n - 1, [i for _, i in self.held[:n]], "\n\n".join(t for t, _ in self.held[:n])
+        return self.number, self.start, [k for _, k in self.held[:n]]
 
     def close(self, n: int) -> None:
         step = n - self.limits.overlap_items if n > self.limits.overlap_items > 0 else n
         self.held, self.start = self.held[step:], self.start + step
 
-    def add(self, text: str, item_id: str) -> Iterator[tuple]:
-        self.held.append((text, item_id))
+    def add(self, length: int, key: int) -> Iterator[tuple]:
+        self.held.append((length, key))
         while (n := self.fitting()) < len(self.held):
             yield self.out(n)
             self.close(n)
@@ -82,42 +83,72 @@ class Packer:
             yield self.out(len(self.held))
 
 
-def build_chunks(items: DataFrame, limits: ChunkLimits, job: str = "job_item_id", partitions: int | None = None) -> DataFrame:
-    """Chunks (job, chunk_no, start_index, end_index, item_count, char_count, item_ids, chunk_text) of items(job, sort_no, item_id, text).
+def cut_items(items: DataFrame, limits: ChunkLimits) -> DataFrame:
+    """items(job, sort_no, item_id, text) with long texts cut in their own partitions; parts are in order of `part`."""
 
-    Items are collapsed, blank ones dropped, long ones cut with `:part_n` ids. Chunk after chunk takes items while they
-    fit; the next one begins `overlap_items` before the end, unless that is no progress. A job's order is sequential, so
-    it is one task's work, but its items stream through it: no more than an open chunk is held.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, parts, texts = [], [], [], []
+            for i, (item_id, text) in enumerate(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                found = split_long(text, limits.max_chars)
+                at += [i] * len(found)
+                ids += [item_id] if len(found) == 1 else [f"{item_id or ''}:part_{k}" for k in range(1, len(found) + 1)]
+                parts += range(len(found))
+                texts += found
+            rows = batch.select(["job", "sort_no", "item_id"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string())], ["job", "sort_no", "item_id", "part_id", "part", "text"])
+
+    kinds = [(c, items.schema[c].dataType.simpleString()) for c in ("job", "sort_no", "item_id")]
+    return items.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds) + ", part_id string, part int, text string")
+
+
+def members(parts: DataFrame, limits: ChunkLimits) -> DataFrame:
+    """(chunk_no, start_index, place, key): which parts(job, sort_no, item_id, row, part, length, key) each chunk holds, in order.
+
+    This is the only sequential step: a job's lengths and keys, not its texts, go through one task, in order.
     """
-    spark = items.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = items.schema[job].dataType.simpleString()
-    rows = items.select(F.col(job).alias("job"), "sort_no", F.col("item_id").cast("string").alias("item_id"), T.collapse(F.col("text")).alias("text")).filter("text <> ''")
-    ordered = rows.repartition(n, "job").sortWithinPartitions("job", "sort_no", "item_id")
-    names = ["job", "chunk_no", "start_index", "end_index", "item_count", "char_count", "item_ids", "chunk_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job_now, packer, job_type = None, None, None
+        now, packer = None, None
         for batch in batches:
-            job_type, out = batch.schema.field("job").type, []
-            for j, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("job", "item_id", "text")), strict=True):
-                if packer is None or j != job_now:
-                    out += [(job_now, *c) for c in packer.end()] if packer else []
-                    job_now, packer = j, Packer(limits)
-                parts = split_long(text, limits.max_chars)
-                for k, part in enumerate(parts, 1):
-                    out += [(j, *c) for c in packer.add(part, item_id if len(parts) == 1 else f"{item_id or ''}:part_{k}")]
-            yield batch_of(out, job_type)
+            out: list[tuple] = []
+            for job, length, key in zip(*(batch.column(c).to_pylist() for c in ("job", "length", "key")), strict=True):
+                if packer is None or job != now:
+                    out += packer.end() if packer else ()
+                    now, packer = job, Packer(limits)
+                out += packer.add(length, key)
+            yield rows_of(out)
         if packer:
-            yield batch_of([(job_now, *c) for c in packer.end()], job_type)
+            yield rows_of(list(packer.end()))
+
+    def rows_of(chunks: list[tuple]) -> pa.RecordBatch:
+        rows = [(number, start, place, key) for number, start, keys in chunks for place, key in enumerate(keys)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["chunk_no", "start_index", "place", "key"])
+
+    ordered = parts.repartition("job").sortWithinPartitions("job", "sort_no", "item_id", "row", "part").select("job", "length", "key")
+    return ordered.mapInArrow(run, "chunk_no int, start_index int, place int, key long")
+
 
-    def batch_of(chunks: list[tuple], job_type: pa.DataType) -> pa.RecordBatch:
-        columns = [[c[0] for c in chunks], *([c[i] for c in chunks] for i in (1, 2, 3)), [len(c[4]) for c in chunks], [sum(map(len, c[5].split("\n\n"))) for c in chunks], [c[4] for c in chunks], [c[5] for c in chunks]]
-        kinds = [job_type, *[pa.int32()] * 5, pa.list_(pa.string()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def build_chunks(items: DataFrame, limits: ChunkLimits, job: str = "job_item_id") -> DataFrame:
+    """Chunks (job, chunk_no, start_index, end_index, item_count, char_count, item_ids, chunk_text) of items(job, sort_no, item_id, text).
 
-    out = ordered.mapInArrow(run, f"job {kind}, chunk_no int, start_index int, end_index int, item_count int, char_count int, item_ids array<string>, chunk_text string")
-    return out.withColumnRenamed("job", job)
+    Items are collapsed, blank ones dropped, long ones cut with `:part_n` ids. Chunk after chunk takes items while they
+    fit; the next one begins `overlap_items` before the end, unless that is no progress. Rows that share a job, sort_no and
+    item_id come one after the other. Texts are cut where they are read and joined by chunk, so a job may hold any share of
+    all texts; only its lengths are read in order.
+    """
+    rows = items.select(F.col(job).alias("job"), "sort_no", F.col("item_id").cast("string").alias("item_id"), T.collapse(F.col("text")).alias("text")).filter("text <> ''")
+    parts = neardup.stage(cut_items(rows, limits).withColumn("key", F.monotonically_increasing_id()), "parts")
+    placed = members(parts.withColumns({"row": F.col("key") - F.col("part"), "length": F.length("text")}), limits)
+    each = F.struct("place", "part_id", "text")
+    chunks = placed.join(parts.select("key", "job", "part_id", "text"), "key").groupBy("job", "chunk_no", "start_index").agg(F.array_sort(F.collect_list(each)).alias("held"))
+    size = F.size("held")
+    chars = F.aggregate("held", F.lit(0), lambda n, x: n + F.length(x["text"]))
+    return chunks.select(
+        F.col("job").alias(job), "chunk_no", "start_index", (F.col("start_index") + size - 1).alias("end_index"), size.alias("item_count"), chars.alias("char_count"),
+        F.col("held.part_id").alias("item_ids"), F.array_join("held.text", "\n\n").alias("chunk_text"),
+    )
 
 
 def chunk_inputs(records: DataFrame, key: str) -> DataFrame:

@@ -89,12 +89,41 @@ def test_packer_against_a_model(lengths, chars, items, overlap):
     limits = chunking.ChunkLimits(chars, items, overlap)
     packer, out = chunking.Packer(limits), []
     for n, length in enumerate(lengths):
-        out += packer.add("x" * length, str(n))
+        out += packer.add(length, n)
     out += packer.end()
-    assert [(a, b) for _, a, b, _, _ in out] == packing_model(lengths, limits)
+    assert [(keys[0], keys[-1]) for _, _, keys in out] == packing_model(lengths, limits)
+    assert all(start == keys[0] and keys == list(range(keys[0], keys[-1] + 1)) for _, start, keys in out)
     assert [c[0] for c in out] == list(range(1, len(out) + 1))
 
 
+@pytest.mark.parametrize("overlap", [0, 2])
+def test_chunks_of_many_jobs_against_a_model(spark, overlap):
+    """One job has two thirds of the items, ids repeat, some texts are blank or are cut."""
+    import random
+
+    rng, limits = random.Random(3), chunking.ChunkLimits(60, 4, overlap)
+    rows = [("hot" if i % 3 else f"j{i % 9}", rng.randrange(40), f"i{rng.randrange(30)}", rng.choice(["", " "]) + " ".join("w" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 30])))) for i in range(300)]
+    rows += rows[:20]
+    items = spark.createDataFrame(rows, "job_item_id string, sort_no int, item_id string, text string").repartition(5)
+    got = {}
+    for r in chunking.build_chunks(items, limits).orderBy("job_item_id", "chunk_no").collect():
+        got.setdefault(r.job_item_id, []).append(r)
+    for job, chunks in got.items():
+        held = {}  # places to parts, as the chunks have them
+        for c in chunks:
+            texts = c.chunk_text.split("\n\n")
+            assert c.item_count == len(texts) == len(c.item_ids) == c.end_index - c.start_index + 1 and c.char_count == sum(map(len, texts))
+            for at, part in enumerate(zip(c.item_ids, texts), c.start_index):
+                assert held.setdefault(at, part) == part
+        mine = sorted((n, i, " ".join(t.split())) for j, n, i, t in rows if j == job and t.strip())
+        want = [p for _, i, t in mine for p in ([(i, t)] if len(chunking.split_long(t, 60)) == 1 else [(f"{i}:part_{k}", x) for k, x in enumerate(chunking.split_long(t, 60), 1)])]
+        assert sorted(held) == list(range(len(want))) and sorted(held.values()) == sorted(want)
+        assert [i.split(":")[0] for _, (i, _) in sorted(held.items())] == [i.split(":")[0] for i, _ in want]
+        assert [(c.start_index, c.end_index) for c in chunks] == packing_model([len(held[k][1]) for k in range(len(held))], limits)
+        assert [c.chunk_no for c in chunks] == list(range(1, len(chunks) + 1))
+    assert set(got) == {j for j, _, _, t in rows if t.strip()}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab 。,!?", max_size=120), st.integers(5, 30))
 def test_long_texts_are_cut_within_the_limit(raw, most):
@@ -233,7 +262,7 @@ def test_refinement(spark):
         return replies[prompt]
 
     chunks = spark.createDataFrame([(f"c{i}", f"p{i}") for i in (1, 2, 3, 4)], "chunk_id string, prompt string")
-    done = refine.execute_chunks(chunks, generate)
+    done = refine.execute_chunks(chunks, generate, pause=0.0)
     assert {r.chunk_id: r.error for r in done.collect()} == {"c1": None, "c2": None, "c3": None, "c4": "down"}
     assert [(r.chunk_id, r.sort_no, r.question, r.answer, r.content) for r in refine.items_of(done).orderBy("chunk_id").collect()] == [("c1", 1, "a", "b", None), ("c3", 1, None, None, "c")]
 
