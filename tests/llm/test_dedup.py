@@ -333,6 +333,22 @@ def test_suffix_dedup_against_brute_force(make, length, wide, narrow):
     assert got == suffix_brute(rows, length)
 
 
+def test_planted_passages_by_length(make):
+    """Passages of 45 to 105 words in two texts each, at the production lengths: all of 400 bytes and more go, no shorter one does."""
+    rows, sizes = [], {}
+    for i, n in enumerate(range(45, 106, 5)):
+        passage = words(3000 + i, n)
+        sizes[2 * i] = sizes[2 * i + 1] = len(passage)
+        rows += [(2 * i + k, f"{words(4000 + 2 * i + k, 80)} | {passage} | {words(5000 + 2 * i + k, 60)}") for k in (0, 1)]
+    rows += [(100 + i, words(6000 + i, 150)) for i in range(10)]
+    got = sorted((tuple(r) for r in suffix_dedup.dedup(make(rows)).collect()), key=repr)
+    assert got == suffix_brute(rows, 400)
+    removed = {r[0]: r[2] for r in got}
+    assert all((removed[i] >= n) if n >= 400 else removed[i] == 0 for i, n in sizes.items() if n + 6 < 400 or n >= 400)
+    assert any(n >= 400 for n in sizes.values()) and any(n + 6 < 400 for n in sizes.values())
+    assert not any(removed[100 + i] for i in range(10))
+
+
 def test_suffix_dedup_in_small_pieces(make, monkeypatch):
     rows = [(1, words(1, 200)), (2, words(2, 30) + words(1, 200) + words(3, 30)), (3, words(1, 200)[300:900])]
     want = suffix_brute(rows, 60)

@@ -174,6 +174,33 @@ def test_notices_side_by_side_are_each_found(make):
     assert sorted(x.first_word for x in got[3].notices) == [k * n for k in range(9)]
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 5])
+@pytest.mark.parametrize("gap", [0, 2, 10, 60])
+@pytest.mark.parametrize("name", ["MPL-2.0", "BSD-3-Clause", "Apache-2.0"])
+def test_every_intact_copy_is_found_among_edited_ones(name, copies, gap):
+    """One intact notice first, then copies with one word in twelve changed, with words of another kind between."""
+    rng, notice = random.Random(copies * 100 + gap), license_scan.words(max(license_scan.NOTICES[name], key=len))
+    text, want = [], []
+    for k in range(copies):
+        text += [f"z{rng.randrange(10**6)}" for _ in range(gap)]
+        want.append(len(text))
+        text += [w if k == 0 or rng.random() > 1 / 12 else "edited" for w in notice]
+    found = license_scan.Notices(license_scan.NOTICES).find(" ".join(text), 0.8)
+    mine = [f for f in found if f[0] == name]
+    assert any(f[1] == 1.0 and f[2] == want[0] for f in mine)
+    for start in want:  # each copy overlaps a notice found, and none is found twice
+        assert any(f[2] < start + len(notice) and f[3] >= start for f in mine), start
+    assert len(mine) <= copies
+
+
+def test_each_notice_is_its_own_license():
+    ready = license_scan.Notices(license_scan.NOTICES)
+    for name, texts in license_scan.NOTICES.items():
+        for text in texts:
+            best = ready.find(f"some words before {text} and after it", 0.8)[0]
+            assert best[1] == 1.0 and (best[0] == name or len(license_scan.words(text)) < len(license_scan.words(max(license_scan.NOTICES[best[0]], key=len)))), (name, best)
+
+
 # Token counts
 
 
