@@ -488,4 +488,6 @@ def f01_f07_f14_listing(spark, sf_dir):
 
 @query("SELECT window_start, job_id, events, done, errors FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id AS job_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL)")
 def streaming_progress(spark, sf_dir):
-    return progress.windowed_progress(t(spark, sf_dir, "events"))
+    """The event files as a stream, taken to its end."""
+    found = progress.follow(spark, f"{sf_dir}/events.parquet*", t(spark, sf_dir, "events").schema)
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

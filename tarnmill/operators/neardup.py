@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
@@ -18,16 +18,21 @@ from tarnmill.functions import vectors as V
 THRESHOLDS = {"qa": 0.85, "plain": 0.95}
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the checkpoint folder that all executors share, and reads it back."""
-    spark = df.sparkSession
+def stage_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tarnmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder, and reads it back."""
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tarnmill.operators import neardup, relational
 
 
 def windowed_progress(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -13,3 +18,21 @@ def windowed_progress(events: DataFrame, late: str = "10 minutes", width: str =
     return dated.groupBy(F.window("ts", width).alias("w"), F.col("user_id").alias("job_id")).agg(
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("errors")
     ).select(F.col("w.start").alias("window_start"), "job_id", "events", "done", "errors")
+
+
+def follow(spark: SparkSession, path: str, schema: StructType, folder: str | None = None) -> DataFrame:
+    """Reads the event files at `path` that were not read before as a stream, and returns the counts as they stand.
+
+    Each micro-batch writes the windows that it changed under its number, so a batch that runs again after a failure
+    replaces its own rows; a window's last update holds. With a `folder` of an earlier call, what has come since is added.
+    """
+    folder = folder or f"{neardup.stage_dir(spark)}/progress-{uuid.uuid4().hex}"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch}")
+
+    counts = windowed_progress(spark.readStream.schema(schema).parquet(path))
+    run = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    run.awaitTermination()
+    updates = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{folder}/updates")
+    return relational.newest(updates, ["window_start", "job_id"], [-F.col("batch")]).drop("batch")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
 from tarnmill.operators import refine, relational, retrieval
 from tarnmill.sources import readers
+from tarnmill.streaming import progress
 
 
 def test_transitions_keep_the_first_start_and_leave_other_rows(spark):
@@ -105,3 +107,15 @@ def test_strip_takes_what_isspace_takes(spark):
     odd = [chr(c) for c in range(0x3002) if chr(c).isspace()] + ["​", "x"]
     rows = spark.createDataFrame([(f"{c}a{c}b{c}",) for c in odd] + [(None,), ("　\x1c \t",)], "s string")
     assert [r.o for r in rows.select(T.strip(F.col("s")).alias("o")).collect()] == [f"{c}a{c}b{c}".strip() for c in odd] + ["", ""]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "ts timestamp, user_id long, event_type string"
+    at = lambda h, m, kind, user=1: spark.createDataFrame([(f"2024-01-01 {h:02}:{m:02}:00", user, kind)], "ts string, user_id long, event_type string").selectExpr("cast(ts as timestamp) ts", "user_id", "event_type")
+    path, folder = str(tmp_path / "events"), str(tmp_path / "state")
+    read = lambda: sorted((r.window_start.hour, r.job_id, r.events, r.done, r.errors) for r in progress.follow(spark, path, S.StructType.fromDDL(schema), folder).collect())
+    at(1, 5, "purchase").unionByName(at(1, 50, "view")).write.mode("append").parquet(path)
+    assert read() == [(1, 1, 2, 1, 0)]
+    at(1, 59, "error").unionByName(at(2, 1, "view", 2)).write.mode("append").parquet(path)
+    assert read() == [(1, 1, 3, 1, 1), (2, 2, 1, 0, 0)]
+    assert read() == [(1, 1, 3, 1, 1), (2, 2, 1, 0, 0)]
