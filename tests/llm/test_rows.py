@@ -16,7 +16,7 @@ SPLITS = "spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallel
 def folder(make, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("rows") / "docs")
     shared = words(7, 120)
-    rows = [(i, f"{words(i % 40, 30)}\n{shared if i % 3 else words(900 + i, 20)}") for i in range(240)]
+    rows = [(i, f"{words(i % 40, 30)}\n{shared if i % 3 else words(900 + i, 20)}") for i in range(120)]
     make(rows, 12).write.parquet(path)
     return path
 
@@ -24,7 +24,7 @@ def folder(make, tmp_path_factory):
 def under(spark, many, run):
     """What run() gives when reads are split small and wide (many), or packed into few parts."""
     old = {k: spark.conf.get(k, None) for k in SPLITS}
-    for k, v in zip(SPLITS, ("4096", "64", "1") if many else ("128m", "2", "4m"), strict=True):
+    for k, v in zip(SPLITS, ("8192", "12", "1") if many else ("128m", "2", "4m"), strict=True):
         spark.conf.set(k, v)
     try:
         return run()
@@ -38,7 +38,7 @@ def test_numbers_do_not_depend_on_the_splits(spark, folder):
         return sorted(map(tuple, common.numbered(spark.read.parquet(folder).filter("doc_id is not null"), "at").select("doc_id", "at").collect()))
 
     few, many = under(spark, False, numbers), under(spark, True, numbers)
-    assert few == many and len({at for _, at in few}) == 240
+    assert few == many and len({at for _, at in few}) == 120
 
 
 def test_derived_tables_are_staged_before_numbering(spark, folder):
@@ -46,7 +46,7 @@ def test_derived_tables_are_staged_before_numbering(spark, folder):
     assert common.is_scan(docs.select("doc_id", "text").filter("doc_id > 3"))
     for other in (docs.repartition(3), docs.orderBy("doc_id"), docs.join(docs.select("doc_id"), "doc_id"), docs.select(F.explode(F.split("text", " "))), spark.range(4)):
         assert not common.is_scan(other)
-    assert common.numbered(docs.unionByName(docs), "at").select("at").distinct().count() == 480
+    assert common.numbered(docs.unionByName(docs), "at").select("at").distinct().count() == 240
 
 
 @pytest.mark.parametrize("op", [line_dedup.dedup, suffix_dedup.dedup, lambda d: prob_minhash.dedup(d).drop("row")], ids=["lines", "suffixes", "near"])
