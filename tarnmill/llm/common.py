@@ -49,6 +49,14 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    It acts when the driver's JVM collects garbage, which a driver that only plans may not do for half an hour.
+    """
+    spark._jvm.System.gc()
+
+
 def is_scan(docs: DataFrame) -> bool:
     """Whether docs is a Parquet table as it lies in its files, but for columns and filters."""
     node = docs._jdf.queryExecution().analyzed()
