@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,23 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     raise ValueError("too many files to number their rows")
 
 
+def running(rows: DataFrame, group: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with `number`, their place in their group by `order` from 1, and with running sums within the group.
+
+    Rows are dealt by ranges of (group, order), so a group of any size spans as many tasks as it needs. A range counts its
+    own rows; what it carries over concerns its first group alone, so what is broadcast is a row a task at most. Null
+    groups are one group, nulls in `order` come first, and rows that tie in all of `order` take any order among themselves.
+    """
+    ranged = staged(rows.withColumns(sums).repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("__part", group).orderBy(*order)
+    totals = ranged.groupBy(group, "__part").agg(F.count("*").alias("number"), *[F.sum(k).alias(k) for k in sums])
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col(group).alias("__group"), F.col("__part").alias("__at"), *[F.sum(k).over(before).alias(f"__{k}") for k in ("number", *sums)]).filter("__number > 0")
+    local = ranged.withColumns({"number": F.row_number().over(own).cast("long")} | {k: F.sum(k).over(own.rowsBetween(Window.unboundedPreceding, 0)) for k in sums})
+    found = local.join(F.broadcast(carried), (F.col("__part") == F.col("__at")) & F.col(group).eqNullSafe(F.col("__group")), "left")
+    return found.withColumns({k: F.col(k) + F.coalesce(f"__{k}", F.lit(0)) for k in ("number", *sums)}).drop("__part", "__group", "__at", *[f"__{k}" for k in ("number", *sums)])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The evaluation fold: crc32 of the id as text leaves 2 when divided by 4 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
