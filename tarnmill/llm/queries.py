@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import chat_format, collocations, decontaminate, exact_chunks, language_id, license_scan, line_dedup, packing, prob_minhash, suffix_dedup, token_rollup, toxicity
+from tarnmill.llm import chat_format, collocations, decontaminate, exact_chunks, language_id, license_scan, line_dedup, packing, prefix_trie, prob_minhash, suffix_dedup, token_rollup, toxicity
 from tarnmill.llm.common import shared_dir, table
 
 
@@ -66,11 +66,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.PROBE).alias("text"))
     return chat_format.read_back(chat_format.render(turns.unionByName(probe)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_suffix_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup, op11_collocations, op13_chat_format)}
-SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL, "op11_collocations": collocations.SQL, "op13_chat_format": chat_format.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_suffix_dedup, op4_toxicity, op5_decontamination, op6_packing, op7_language_id, op8_license_scan, op9_token_counts, op10_minhash_dedup, op11_collocations, op12_prefix_trie, op13_chat_format)}
+SQL: dict[str, str] = {"op2_exact_dedup": exact_chunks.SQL, "op11_collocations": collocations.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_chat_format": chat_format.SQL}

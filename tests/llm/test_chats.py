@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import zlib
 
+import numpy as np
 import pytest
 
-from tarnmill.llm import chat_format
+from tarnmill.llm import chat_format, prefix_trie
 
 CHATS = "conv_id long, turn long, role string, text string, number int, start int, `end` int, example string, header string, piece string"
 HARD = ["", "\\", "\\s\\l", "<turn user>\nhi</turn>\n", "a\\</turn>", "\\### Assistant: </turn> ok", "x\n\ny ü 😀", "<turn", "</turn>\n<turn assistant>\n", "\\lturn \\\\n"]
@@ -75,3 +78,67 @@ def test_chat_examples_hold_all_that_precedes_and_train_one_reply(spark, hard_ro
 def test_chat_format_of_nothing(spark):
     rendered = chat_format.render(chats(spark, []))
     assert rendered.count() == chat_format.read_back(rendered).count() == chat_format.texts(rendered).count() == 0
+
+
+# Prefix trie
+
+
+def plain_trie(rows):
+    """Every node by a walk over all prefixes of all rebuilt conversations."""
+    own = {c: turns for c, turns in ordered(rows).items() if c is not None}
+    members: dict = {}
+    ends: dict = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (c % 5 if c >= 0 else -(-c % 5))
+        path = tuple(own.get(base, [])[:h] + own[c][h:])
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+        ends.setdefault(path, []).append(c)
+    children: dict = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        leaves[node] = sum(leaves[x] for x in below) or 1
+        saved[node] = sum(saved[x] for x in below) + ((len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0)
+    out = []
+    for node, of in members.items():
+        digest = sha(",".join(map(str, sorted(ends.get(node, [])))))
+        out.append((min(of), len(node), min(members[node[:-1]]) if node else None, len(of), len(children.get(node, [])), leaves[node], saved[node], digest))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def trie_rows(hard_rows):
+    """A first turn that a third of the conversations share, copies, deep conversations with common stems, negative and turnless ones."""
+    rng = random.Random(3)
+    rows = [r for r in hard_rows if r[0] != 5] + [(-c, i, "user", f"n{i % 2}") for c in range(1, 12) for i in range(3)]
+    for c in range(100, 190):
+        first = "hello" if c % 3 == 0 else f"hi {c % 7}"
+        rows += [(c, i, ("user", "assistant")[i % 2], first if i == 0 else f"t{rng.randint(0, 1 + i % 3)} é") for i in range(rng.randint(1, 14))]
+    rows += [(c, i, "user", f"same {i}") for c in range(200, 260, 5) for i in range(40)] + [(c, i, "user", f"same {i}" if i < 25 else f"own {c}") for c in range(300, 330, 5) for i in range(30)]
+    return rows
+
+
+@pytest.mark.parametrize(("levels", "most"), [(64, 1 << 16), (4, 1), (3, 5), (1, 1000), (64, 3)])
+def test_trie_is_that_of_a_walk_over_all_prefixes(spark, trie_rows, levels, most):
+    got = prefix_trie.trie(chats(spark, trie_rows), levels, most)
+    assert {d for c, d in got.dtypes if c != "ends_sha256"} == {"bigint"}
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_trie(trie_rows)
+
+
+def test_trie_of_one_turnless_conversation_and_of_nothing(spark):
+    turnless = next(c for c in range(1, 1000) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1)
+    rows = [(turnless, 0, "user", "gone"), (None, 1, "user", "no conversation")]
+    assert sorted(map(tuple, prefix_trie.trie(chats(spark, rows)).collect())) == plain_trie(rows) == [(turnless, 0, None, 1, 0, 1, 0, sha(str(turnless)))]
+    assert prefix_trie.trie(chats(spark, [])).count() == 0
+
+
+def test_louds_gives_parents_back():
+    rng = np.random.default_rng(1)
+    parent = np.sort(np.concatenate([[-1, -1], *[rng.integers(-1, i, 1) for i in range(2, 300)]]))
+    parent = np.minimum(parent, np.arange(len(parent)) - 1)
+    assert (prefix_trie.parents(prefix_trie.louds(parent)) == parent).all()
