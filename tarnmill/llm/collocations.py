@@ -107,10 +107,15 @@ def postings(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     return rows.mapInArrow(run, "shard long, lang string, n_words long, words array<string>, counts array<int>, places binary")
 
 
-def frequent(lists: DataFrame, key: list[str], least: int) -> DataFrame:
-    """lists(*key, n, code) of the phrases that occur `least` times in all, with that total and the phrase's id, its least code."""
+def frequent(lists: DataFrame, key: list[str], least: int, label: str) -> DataFrame:
+    """code and id of the lists(*key, n, code) whose phrases occur `least` times in all; a phrase's id is its least code.
+
+    The one row of a phrase with code = id also has its key and its total.
+    """
     same = Window.partitionBy(*key)
-    return lists.withColumns({"total": F.sum("n").over(same), "id": F.min("code").over(same)}).filter(F.col("total") >= least)
+    found = lists.withColumns({"total": F.sum("n").over(same), "id": F.min("code").over(same)}).filter(F.col("total") >= least)
+    first = F.col("code") == F.col("id")
+    return staged(found.select("code", "id", *[F.when(first, F.col(c)).alias(c) for c in (*key, "total")]), label, clean=True)
 
 
 def marks(found: DataFrame, level: int) -> DataFrame:
@@ -179,14 +184,14 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, shard_bytes:
     """(lang, phrase, k, f) of all phrases of 1 to most_words words that occur `least` times, and (lang, n) of all languages."""
     lists = staged(postings(docs, shard_bytes), "lists")
     each = lists.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"), (F.shiftleft("shard", AT_BITS) + F.col("at")).alias("code"))
-    found = staged(frequent(each, ["word", "lang"], least), "words")
+    found = frequent(each, ["word", "lang"], least, "words")
     single = found.filter("code = id").select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("total").alias("f"))
     n = staged(lists.groupBy("lang").agg(F.sum("n_words").alias("n")), "n")
-    words = staged(frequent_words(lists, marks(found, 1)), "postings")
+    words = staged(frequent_words(lists, marks(found, 1)), "postings", clean=True)
     drop_staged(lists)
     out, shorter, known = single, single, None
     for level in range(2, most_words + 1):
-        found = staged(frequent(extended(words, known, level), ["left", "right"], least), "pairs")
+        found = frequent(extended(words, known, level), ["left", "right"], least, "pairs")
         last = single.select(F.col("id").alias("right"), F.col("phrase").alias("word"))
         named = found.filter("code = id").select("id", "left", "right", F.col("total").alias("f")).join(shorter.select(F.col("id").alias("left"), "lang", "phrase"), "left").join(last, "right")
         shorter = named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.lit(level).alias("k"), "f")
@@ -205,7 +210,7 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, keep: in
     A phrase is scored at the cut where its parts explain it best; one that a longer phrase nearly always surrounds goes.
     """
     found, totals = phrases(docs, least, most_words, shard_bytes)
-    known = staged(found, "phrases").withColumn("words", F.split("phrase", " "))
+    known = staged(found, "phrases", clean=True).withColumn("words", F.split("phrase", " "))
     several = known.filter("k > 1")
     joined = lambda begin, size: F.array_join(F.slice("words", begin, size), " ")
     cut = several.select("lang", "phrase", "k", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("at"))

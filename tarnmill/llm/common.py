@@ -32,11 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+#: Spark's own setting that removes a query's shuffle files when the query ends.
+CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    With `clean`, the shuffle files that the write needed are removed as soon as the table is there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANS, None)
+    if clean:
+        spark.conf.set(CLEANS, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(CLEANS, before) if before else spark.conf.unset(CLEANS)
     return spark.read.schema(df.schema).parquet(path)
 
 
