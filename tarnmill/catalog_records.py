@@ -164,6 +164,18 @@ def c31_c32_p14_model_replies(spark, sf_dir):
     return refine.items_of(replies).select("chunk_id", "sort_no", "question", "answer", F.col("content").alias("source"))
 
 
+NOTE = ", see: [page 3,] {a: 1,} \\"
+
+@query(f"SELECT doc_id AS chunk_id, CAST(1 AS INTEGER) AS sort_no, md5(text) AS question, md5(text || '{NOTE}') AS answer, md5(source) AS content FROM documents")
+def c31_p14_replies_of_whole_texts(spark, sf_dir):
+    """Documents as items of replies with bare keys and trailing commas, whose strings hold commas, colons, brackets, quotes and line ends."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    item = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    reply = F.concat(F.lit("Here it is:\n{qa_list : [{question: "), item(F.col("text")), F.lit(', "answer":'), item(F.concat("text", F.lit(NOTE))), F.lit(" , content: "), item(F.col("source")), F.lit(",\n}, ] ,}"))
+    found = refine.items_of(docs.select(F.col("doc_id").alias("chunk_id"), reply.alias("response")))
+    return found.select("chunk_id", "sort_no", *[F.md5(c).alias(c) for c in ("question", "answer", "content")])
+
+
 @query("""WITH q AS (SELECT c_custkey AS id, 'name ' || c_name AS question, 'in ' || c_mktsegment AS answer, CASE WHEN c_custkey % 2 = 0 THEN 'qa' ELSE 'plain' END AS kind FROM customer)
 SELECT id, CASE WHEN kind = 'qa' THEN (length(question) + length(answer)) / 2.0 ELSE length(question || ' ' || answer) END AS x, CASE WHEN kind = 'qa' THEN (length(replace(question, 'a', '')) + length(replace(answer, 'a', ''))) / 2.0 ELSE length(replace(question || ' ' || answer, 'a', '')) END AS y FROM q""")
 def n02_n03_item_vectors(spark, sf_dir):

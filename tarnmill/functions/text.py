@@ -228,8 +228,16 @@ def as_int(c: Column, default: int) -> Column:
     return F.coalesce(F.when(c.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c.cast("string")).try_cast("long")), F.lit(default).cast("long"))
 
 
+#: A whole string, or what stands between strings, or a quote that nothing closes; the loops never step back, so length is no matter.
+JSON_RUNS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+
+
 def repair_json(c: Column) -> Column:
-    """The JSON in a model's reply: fences and lead-in dropped, trailing commas and bare keys mended."""
+    """The JSON in a model's reply: fences and lead-in dropped, trailing commas and bare keys mended.
+
+    Strings are told from what stands between them, and only the latter is mended, so valid JSON comes back as it was.
+    """
     s = sub(sub(strip(c), r"^```[^\n]*\n?", ""), r"\n?```\s*$", "")
     s = F.regexp_extract(sub(strip(s), "(?i)^json", ""), r"(?s)([\{\[].*)", 1)
-    return sub(sub(s, r",(\s*[}\]])", "$1"), r"([{\[,]\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*:)", '$1"$2"$3')
+    mended = lambda x: sub(sub(x, r",(\s*[}\]])", "$1"), r"([{\[,]\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*:)", '$1"$2"$3')
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(JSON_RUNS), F.lit(0)), lambda x: F.when(x.startswith('"'), x).otherwise(mended(x))), "")

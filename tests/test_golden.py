@@ -194,6 +194,25 @@ def test_upserts(spark):
             relational.page(old, [F.col("k")], *bad)
 
 
+@pytest.mark.parametrize(("reply", "question", "answer"), [
+    ('{"qa_list":[{"question":"Which, see: page 3?","answer":"A, b: c"}]}', "Which, see: page 3?", "A, b: c"),
+    ('{"qa_list":[{"question":"x,}","answer":"[y,]"}]}', "x,}", "[y,]"),
+    ('{qa_list:[{question:"{a: 1,}",answer:"\\\\",},],}', "{a: 1,}", "\\"),
+    ('```json\n{"qa_list":[{"question":"say \\"hi, you: \\"","answer" : "q",\n}]}\n```', 'say "hi, you: "', "q"),
+])
+def test_replies_are_mended_outside_their_strings_only(spark, reply, question, answer):
+    found = refine.items_of(spark.createDataFrame([("c", reply)], "chunk_id string, response string")).collect()
+    assert [(r.question, r.answer) for r in found] == [(question, answer)]
+
+
+def test_valid_json_is_left_alone_whatever_its_strings_hold(spark):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice('a_:,{}[]"\\\n é') for _ in range(rng.randint(0, 30)))
+    values = [json.dumps({text(): [text(), {text(): None, "k": [1, True, text()]}]}, ensure_ascii=rng.random() < 0.5) for _ in range(300)] + [json.dumps({"a": '\\"' * 50_000 + "x" * 500_000})]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    assert frame.select("v", T.repair_json(F.col("v")).alias("r")).filter("v <> r or r is null").count() == 0
+
+
 def test_search_modes(spark):
     rows = [("e1", "plain", "t", None, None, "apple pear apple", "apple pear apple", None, 1, "2024"), ("e2", "plain", "t", None, None, "plum", "plum", None, 2, "2024"), ("e3", "qa", "t", "what?", "this", None, "what this", [1.0, 0.0], 3, "2024"), ("e4", "qa", "t", "why?", "that", None, "apple", [0.6, 0.8], 4, "2024")]
     rows += [(f"x{i}", "plain", "t", None, None, f"filler{i} common", f"filler{i} common", None, 9, "2024") for i in range(20)]
