@@ -7,13 +7,15 @@ parents and children, events are chunk states.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import html, scoring, urls
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
-from tarnmill.operators import chunking, jobs, neardup, refine, relational, retrieval, splitting
+from tarnmill.operators import chunking, jobs, neardup, refine, relational, retrieval, search_index, splitting
 from tarnmill.plans import page_scoring
 from tarnmill.registry import QUERIES, SQL, query, t  # noqa: F401
 from tarnmill.sources import readers, sinks
@@ -222,23 +224,53 @@ s AS (SELECT q.item_id AS query_id, p.doc_id, -sum(greatest(ln((st.n - df.df + 0
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) AS rank FROM s)"""
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval.tokens(F.col("text"))).alias("term"))
-    index = retrieval.build_index(t(spark, sf_dir, "documents"), "doc_id", "text", terms)
-    return retrieval.bm25(*index, terms, "doc_id").withColumn("score", F.round("score", 6))
+#: Where the documents' index of a session and a folder of tables lies, so that all searches share one build.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> search_index.Index:
+    """The stored full-text index of all documents, built by the first search that asks for it."""
+    held = (spark.sparkContext.applicationId, sf_dir)
+    if held not in INDEXES:
+        path = f"{neardup.stage_dir(spark)}/documents-index-{uuid.uuid4().hex}"
+        search_index.append(t(spark, sf_dir, "documents"), path, "all", "doc_id", "text", "lang")
+        INDEXES[held] = path
+    return search_index.open_index(spark, INDEXES[held])
+
+
+def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval.tokens(F.col("text"))).alias("term"))
+
+
+def bm25_scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(query_id, doc_id, score) that hold the k best documents of each benchmark text, from the stored index."""
+    hits, _ = search_index.search(document_index(spark, sf_dir), item_terms(spark, sf_dir), k)
+    return hits.select("query_id", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r02_bm25(spark, sf_dir):
     """The ten best documents for each benchmark text: R01, R02, C27, J04, O02."""
-    return retrieval.top(bm25_scores(spark, sf_dir), ["query_id"], [F.col("score"), F.col("doc_id")], 10)
+    return retrieval.top(bm25_scores(spark, sf_dir, 10), ["query_id"], [F.col("score"), F.col("doc_id")], 10)
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, true AS some_skipped FROM r WHERE rank <= 3")
+def r01_k11_index_by_deltas(spark, sf_dir):
+    """The index appended in three deltas, one of them sent twice; whether the block maxima let blocks be skipped."""
+    path, docs = f"{neardup.stage_dir(spark)}/delta-index-{uuid.uuid4().hex}", t(spark, sf_dir, "documents")
+    for delta in (0, 1, 2, 1):
+        search_index.append(docs.filter(F.pmod(F.hash("doc_id"), F.lit(3)) == delta), path, f"delta-{delta}", "doc_id", "text")
+    hits, report = search_index.search(search_index.open_index(spark, path), item_terms(spark, sf_dir), 3)
+    best = retrieval.top(hits.withColumns({"doc_id": F.col("key").cast("long"), "score": F.round("score", 6)}), ["query_id"], [F.col("score"), F.col("doc_id")], 3)
+    skipped = report.agg((F.sum("skipped") > 0).alias("some_skipped"))
+    return best.select("query_id", "doc_id", "score", "rank").crossJoin(F.broadcast(skipped))  # one row
 
 
 @query(f"""WITH {BM25}, g AS (SELECT *, CASE WHEN round(score, 6) <= -60 THEN 1 WHEN round(score, 6) <= -20 THEN 2 END AS tier FROM r WHERE rank <= 10), k AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM g WHERE tier IS NOT NULL)
 SELECT query_id, doc_id, CAST(tier AS INTEGER) AS tier, round(score, 6) AS score FROM k WHERE tier = best""")
 def r03_rank_tiers(spark, sf_dir):
     order = [F.col("score"), F.col("doc_id")]
-    hits = retrieval.top(bm25_scores(spark, sf_dir), ["query_id"], order, 10)
+    hits = retrieval.top(bm25_scores(spark, sf_dir, 10), ["query_id"], order, 10)
     return retrieval.tiered(hits, ["query_id"], F.col("score") <= -60, F.col("score") <= -20, order, 10).select("query_id", "doc_id", "tier", "score")
 
 
@@ -254,7 +286,7 @@ def r06_hybrid(spark, sf_dir):
     queries = vectors.join(items, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     near = retrieval.vector_hits(queries, vectors, "id").filter("score >= 0.3").withColumn("score", F.round("score", 6))
     qa = retrieval.top(near, ["query_id"], [F.col("score").desc(), F.col("id")], 5).withColumn("result_kind", F.lit("qa"))
-    plain = retrieval.top(bm25_scores(spark, sf_dir).withColumnRenamed("doc_id", "id"), ["query_id"], [F.col("score"), F.col("id")], 5).withColumn("result_kind", F.lit("plain"))
+    plain = retrieval.top(bm25_scores(spark, sf_dir, 5).withColumnRenamed("doc_id", "id"), ["query_id"], [F.col("score"), F.col("id")], 5).withColumn("result_kind", F.lit("plain"))
     return retrieval.hybrid(qa, plain, 8).select("query_id", "id", "result_kind", "score", "position")
 
 
@@ -262,7 +294,7 @@ def r06_hybrid(spark, sf_dir):
   FROM r JOIN documents d2 ON d2.doc_id = r.doc_id WHERE rank <= 8)
 SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context FROM k GROUP BY query_id""")
 def r07_context(spark, sf_dir):
-    hits = retrieval.top(bm25_scores(spark, sf_dir), ["query_id"], [F.col("score"), F.col("doc_id")], 8)
+    hits = retrieval.top(bm25_scores(spark, sf_dir, 8), ["query_id"], [F.col("score"), F.col("doc_id")], 8)
     docs = t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("source_label"))
     named = hits.join(docs, "doc_id").withColumns({"position": F.col("rank"), "result_kind": F.lit("plain"), "question": F.lit(""), "answer": F.lit(""), "source_type": F.lit("doc")})
     return retrieval.context(named).select("query_id", F.md5("context").alias("context"))

@@ -5,13 +5,15 @@ Stand-ins as in catalog.py; orders are jobs, lineitem their items, customers upl
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
-from tarnmill.operators import jobs, refine, relational, retrieval, splitting
+from tarnmill.operators import jobs, neardup, refine, relational, retrieval, splitting
 from tarnmill.registry import query, t
-from tarnmill.sources import readers
+from tarnmill.sources import readers, sinks
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
 
@@ -218,10 +220,14 @@ p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl
 s AS (SELECT doc_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN df USING (term) CROSS JOIN st GROUP BY doc_id)
 SELECT 'e_' || doc_id AS entry_id, round(score, 6) AS score FROM s WHERE round(score, 6) < 0 ORDER BY round(score, 6), doc_id LIMIT 10""")
 def r09_plain_search(spark, sf_dir):
-    """The facade's full-text mode, with tiers wide enough for every hit."""
+    """The facade's full-text mode over a stored search database, with tiers wide enough for every hit."""
     docs = t(spark, sf_dir, "documents")
     entries = docs.select(F.concat(F.lit("e_"), "doc_id").alias("entry_id"), F.lit("plain").alias("knowledge_type"), F.col("text").alias("search_text"), F.col("doc_id").alias("sort_no"), F.lit("").alias("created_at"))
-    found = retrieval.search(spark, entries, "the license\nund", "plain_fts", {"fts": {"strong_bm25_max": 0, "weak_bm25_max": 0, "top_k": 10}})
+    folder, name = neardup.stage_dir(spark), f"documents-{uuid.uuid4().hex}"
+    sinks.build_search_db(entries, folder, name, "documents")
+    stored, _ = sinks.open_search_db(spark, folder, name)
+    index = sinks.open_search_index(spark, folder, name)
+    found = retrieval.search(spark, stored, "the license\nund", "plain_fts", {"fts": {"strong_bm25_max": 0, "weak_bm25_max": 0, "top_k": 10}}, index=index)
     return found.select("entry_id", F.round("score", 6).alias("score"))
 
 

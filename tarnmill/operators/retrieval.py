@@ -179,12 +179,19 @@ def search_config(override: Mapping[str, Any] | None = None) -> dict[str, dict[s
     return out
 
 
-def search_plain(entries: DataFrame, index: tuple[DataFrame, DataFrame], terms: DataFrame, config: dict, limit: int | None = None) -> DataFrame:
-    """Plain entries that match a query, best tier only."""
+def search_plain(entries: DataFrame, index: Any, terms: DataFrame, config: dict, limit: int | None = None) -> DataFrame:
+    """Plain entries that match a query, best tier only. index is a stored one, or (postings, stats)."""
     fts = config["fts"]
-    found = bm25(*index, terms, "entry_id").join(entries.filter("knowledge_type = 'plain'"), "entry_id")
+    most = max(fts["top_k"], config["hybrid"]["fts_top_k"])
+    if isinstance(index, tuple):
+        scores = bm25(*index, terms, "entry_id")
+    else:
+        from tarnmill.operators import search_index  # which builds on this module
+
+        scores = search_index.search(index, terms, most, "plain")[0].withColumnRenamed("key", "entry_id")
+    found = scores.join(entries.filter("knowledge_type = 'plain'"), "entry_id")
     order = [F.col("score"), F.col("sort_no"), F.col("created_at").desc(), F.col("entry_id")]
-    hits = top(found, ["query_id"], order, max(fts["top_k"], config["hybrid"]["fts_top_k"]))
+    hits = top(found, ["query_id"], order, most)
     return tiered(hits, ["query_id"], F.col("score") <= fts["strong_bm25_max"], F.col("score") <= fts["weak_bm25_max"], order, limit or fts["top_k"]).withColumn("result_kind", F.lit("plain"))
 
 
@@ -220,16 +227,16 @@ def context(results: DataFrame, most_items: int = 8, most_chars: int = 1200) ->
 NOTHING_FOUND = "No result was found to answer from."
 
 
-def search(spark: SparkSession, entries: DataFrame, query: str, mode: str, config: Mapping[str, Any] | None = None, embed: Callable[[str], list[float]] | None = None, answer: Callable[[str, str], str] | None = None) -> DataFrame:
+def search(spark: SparkSession, entries: DataFrame, query: str, mode: str, config: Mapping[str, Any] | None = None, embed: Callable[[str], list[float]] | None = None, answer: Callable[[str, str], str] | None = None, index: Any = None) -> DataFrame:
     """One query in the mode plain_fts, qa, hybrid, hybrid_ai or ai_answer.
 
-    embed gives a query's vector, answer a reply to (query, context); neither is needed by plain_fts.
+    index is a stored full-text index of the entries; without one, the query's own terms are indexed as it runs. embed gives a query's vector, answer a reply to (query, context); neither is needed by plain_fts.
     """
     settings = search_config(config)
     if mode == "ai_answer":
         return spark.createDataFrame([("q", answer(query, "") if answer else NOTHING_FOUND)], "query_id string, answer string")
     terms = spark.createDataFrame([("q", t) for t in query_terms(query)], "query_id string, term string")
-    index = build_index(entries, "entry_id", "search_text", terms)
+    index = index or build_index(entries, "entry_id", "search_text", terms)
     if mode == "plain_fts":
         return search_plain(entries, index, terms, settings)
     if embed is None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.operators import retrieval
+from tarnmill.operators import search_index
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -20,15 +22,14 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def build_search_db(entries: DataFrame, folder: str, name: str, source_type: str) -> DataFrame:
-    """Writes entries, postings (sorted by term, so files hold term ranges) and stats; returns the build's counts."""
+    """Writes entries, their full-text index as one segment, and the build's counts, which it returns."""
     spark, path = entries.sparkSession, f"{folder}/{name}"
     entries.write.mode("overwrite").parquet(f"{path}/entries")
     stored = spark.read.parquet(f"{path}/entries")
-    postings, stats = retrieval.build_index(stored, "entry_id", "search_text")
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    build = uuid.uuid4().hex  # a new build never meets an old one's index
+    search_index.append(stored, f"{path}/index-{build}", "build", "entry_id", "search_text", "knowledge_type")
     counts = build_counts(stored)
-    counts.withColumns({"database_name": F.lit(name), "source_type": F.lit(source_type)}).write.mode("overwrite").parquet(f"{path}/meta")
+    counts.withColumns({"database_name": F.lit(name), "source_type": F.lit(source_type), "index": F.lit(f"index-{build}")}).write.mode("overwrite").parquet(f"{path}/meta")
     return spark.read.parquet(f"{path}/meta")
 
 
@@ -38,8 +39,14 @@ def build_counts(entries: DataFrame) -> DataFrame:
 
 
 def open_search_db(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """A database's entries and its index written out as postings and stats; open_search_index gives the index as it is stored."""
+    index = open_search_index(spark, folder, name)
+    return spark.read.parquet(f"{folder}/{name}/entries"), (index.postings().withColumnRenamed("key", "entry_id"), index.stats)
+
+
+def open_search_index(spark: SparkSession, folder: str, name: str) -> search_index.Index:
     path = f"{folder}/{name}"
-    return spark.read.parquet(f"{path}/entries"), (spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+    return search_index.open_index(spark, f"{path}/{spark.read.parquet(f'{path}/meta').first()['index']}")
 
 
 def databases(spark: SparkSession, folder: str, source_type: str | None = None) -> DataFrame:
