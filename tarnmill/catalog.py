@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import html, scoring, urls
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
-from tarnmill.operators import chunking, jobs, neardup, refine, relational, retrieval, search_index, splitting
+from tarnmill.operators import chunking, jobs, metric, neardup, refine, relational, retrieval, search_index, splitting
 from tarnmill.plans import page_scoring
 from tarnmill.registry import QUERIES, SQL, query, t  # noqa: F401
 from tarnmill.sources import readers, sinks
@@ -177,12 +177,26 @@ COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(lis
 VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
+VECTORS: dict[tuple[str, str], str] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> metric.Cells:
+    """The stored cells of all embeddings, built by the first search that asks for them."""
+    held = (spark.sparkContext.applicationId, sf_dir)
+    if held not in VECTORS:
+        path = f"{neardup.stage_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        metric.write_index(metric.partition(t(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
+        VECTORS[held] = path
+    return metric.open_index(spark, VECTORS[held])
+
+
 @query(f"WITH {VEC} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INTEGER) AS rank FROM v a, v b WHERE a.vec_id % 50 = 0 AND {COS} >= 0) WHERE rank <= 10")
 def r04_c29_j06_o03_vector_search(spark, sf_dir):
     """Every fiftieth vector as a query against all vectors."""
     vectors = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = retrieval.top(retrieval.vector_hits(queries, vectors, "vec_id"), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 10)
+    near, _ = metric.search(vector_index(spark, sf_dir), queries, 10)
+    hits = retrieval.top(near.withColumnRenamed("id", "vec_id"), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 10)
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -193,7 +207,8 @@ SELECT query_id, vec_id, CAST(tier AS INTEGER) AS tier, round(score, 6) AS score
 def r05_f13_similarity_tiers(spark, sf_dir):
     vectors = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    hits = retrieval.vector_hits(queries, vectors, "vec_id").filter("query_id <> vec_id")
+    near, _ = metric.search(vector_index(spark, sf_dir), queries, least=0.3)
+    hits = near.withColumnRenamed("id", "vec_id").filter("query_id <> vec_id")
     found = retrieval.tiered(hits, ["query_id"], F.col("score") >= 0.4, F.col("score") >= 0.3, [F.col("score").desc(), F.col("vec_id")], 1 << 30)
     return found.select("query_id", "vec_id", "tier", F.round("score", 6).alias("score"))
 
@@ -284,7 +299,7 @@ def r06_hybrid(spark, sf_dir):
     vectors = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     queries = vectors.join(items, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = retrieval.vector_hits(queries, vectors, "id").filter("score >= 0.3").withColumn("score", F.round("score", 6))
+    near = metric.search(vector_index(spark, sf_dir), queries, 5, 0.3)[0].withColumn("score", F.round("score", 6))
     qa = retrieval.top(near, ["query_id"], [F.col("score").desc(), F.col("id")], 5).withColumn("result_kind", F.lit("qa"))
     plain = retrieval.top(bm25_scores(spark, sf_dir, 5).withColumnRenamed("doc_id", "id"), ["query_id"], [F.col("score"), F.col("id")], 5).withColumn("result_kind", F.lit("plain"))
     return retrieval.hybrid(qa, plain, 8).select("query_id", "id", "result_kind", "score", "position")

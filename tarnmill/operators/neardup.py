@@ -2,80 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
+from tarnmill.operators import metric
+from tarnmill.operators.staging import numbered, stage, stage_dir  # noqa: F401
 
 #: Least similarities of duplicate questions and of duplicate plain items (fixed values).
 THRESHOLDS = {"qa": 0.85, "plain": 0.95}
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode only)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tarnmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder, and reads it back."""
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
-    """df with its rows' places in `order`, from 1: ranges are numbered in their own tasks, then moved up by offsets."""
-    ranged = df.withColumns({f"__k{i}": c for i, c in enumerate(order)})
-    keys = [f"__k{i}" for i in range(len(order))]
-    ranged = stage(ranged.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return ranged.join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("int")).drop("__part", "__before", *keys)
-
-
-def similar_pairs(items: DataFrame, threshold: float, block_rows: int = 2048) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b, score) of items(id, vector) with a < b and cosine of `threshold` or more.
 
-    Exact: items are dealt into blocks by hash and each pair of blocks is one group, multiplied as matrices; only pairs
-    over the threshold come out. Null, empty and zero vectors match nothing; vectors of other lengths are other spaces.
+    Exact: vectors meet in the cells that the threshold lets them reach, and there as blocks that are multiplied as
+    matrices. Null, empty and zero vectors match nothing; vectors of other lengths are other spaces.
     """
-    kind = items.schema["id"].dataType.simpleString()
-    valid = items.filter(F.size("vector") > 0).select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dims"))
-    blocks = max(1, -(-valid.count() // block_rows))
-    dealt = valid.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # The pair of blocks (i, j), i <= j, needs both blocks' rows: a row goes to the pairs its block is in.
-    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    pairs = dealt.select("id", "vector", "dims", "block", F.explode(others).alias("p")).select("id", "vector", "dims", "block", "p.i", "p.j")
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, block = rows.column("id"), rows.column("block").to_numpy()
-        x = np.array(rows.column("vector").to_pylist())
-        norm = np.sqrt((x * x).sum(1))
-        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        s = x[left] @ x[right].T
-        m, n = np.nonzero((s >= threshold) & (norm[left] > 0)[:, None] & (norm[right] > 0)[None, :])
-        a, b = ids.take(pa.array(left[m])), ids.take(pa.array(right[n]))
-        return pa.table({"a": a, "b": b, "score": pa.array(s[m, n], pa.float64())})
-
-    found = pairs.groupBy("dims", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, score double")
-    ordered = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
-    return ordered.groupBy("a", "b").agg(F.max("score").alias("score"))
+    return metric.pairs(metric.partition(items, "id", "vector"), threshold)[0]
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -92,6 +37,18 @@ def connected(pairs: DataFrame) -> DataFrame:
         labels = after
 
 
+def linked(items: DataFrame, threshold: float) -> DataFrame:
+    """(id, root): the components of items(id, vector) under similar_pairs; items that are alone may be absent.
+
+    Equal vectors are folded first, as one id stands for them all, so a group of copies is never paired with itself.
+    """
+    held = metric.valid(items, "id", "vector")
+    copies = stage(held.groupBy("vector").agg(F.min("id").alias("first")), "distinct")
+    roots = connected(similar_pairs(copies.select(F.col("first").alias("id"), "vector"), threshold))
+    of_copies = copies.join(roots.withColumnRenamed("id", "first"), "first", "left").select("vector", F.coalesce("root", "first").alias("root"))
+    return held.join(of_copies, "vector").select("id", "root")
+
+
 def clusters(items: DataFrame, thresholds: dict[str, float] | None = None, job_id: str = "job") -> DataFrame:
     """Marks on items(knowledge_id, knowledge_type, question, answer, content, sort_no, vector).
 
@@ -101,8 +58,8 @@ def clusters(items: DataFrame, thresholds: dict[str, float] | None = None, job_i
     """
     limits, roots = thresholds or THRESHOLDS, None
     for kind, limit in limits.items():
-        part = items.filter(F.col("knowledge_type") == kind).select(F.col("knowledge_id").alias("id"), "vector")
-        found = connected(similar_pairs(part, limit))
+        part = items.filter(F.col("knowledge_type") == kind).select(F.col("knowledge_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+        found = linked(part, limit)
         roots = found if roots is None else roots.unionByName(found)
     length = sum((F.length(T.collapse(F.col(c))) for c in ("question", "answer", "content")), F.lit(0))
     rank = F.struct((T.collapse(F.col("answer")) != "").cast("int").alias("answered"), length.alias("total"), (-F.coalesce("sort_no", F.lit(0))).alias("early"), F.col("knowledge_id").alias("id"))

@@ -195,13 +195,20 @@ def search_plain(entries: DataFrame, index: Any, terms: DataFrame, config: dict,
     return tiered(hits, ["query_id"], F.col("score") <= fts["strong_bm25_max"], F.col("score") <= fts["weak_bm25_max"], order, limit or fts["top_k"]).withColumn("result_kind", F.lit("plain"))
 
 
-def search_qa(entries: DataFrame, queries: DataFrame, config: dict, limit: int | None = None) -> DataFrame:
-    """Question and answer entries near a query, best tier only."""
+def search_qa(entries: DataFrame, queries: DataFrame, config: dict, limit: int | None = None, vectors: Any = None) -> DataFrame:
+    """Question and answer entries near a query, best tier only. vectors: the cells (metric) of their embeddings, if there are any."""
     qa = config["qa_similarity"]
     held = entries.filter("knowledge_type = 'qa'")
-    found = vector_hits(queries, held.filter("embedding is not null"), "entry_id").join(held, "entry_id")
+    most = max(qa["top_k"], config["hybrid"]["qa_top_k"], 10)
+    if vectors is None:
+        near = vector_hits(queries, held.filter("embedding is not null"), "entry_id")
+    else:
+        from tarnmill.operators import metric
+
+        near = metric.search(vectors, queries, most)[0].withColumnRenamed("id", "entry_id")
+    found = near.join(held, "entry_id")
     order = [F.col("score").desc(), F.col("entry_id")]
-    hits = top(found, ["query_id"], order, max(qa["top_k"], config["hybrid"]["qa_top_k"], 10))
+    hits = top(found, ["query_id"], order, most)
     return tiered(hits, ["query_id"], F.col("score") >= qa["strong_threshold"], F.col("score") >= qa["weak_threshold"], order, limit or qa["top_k"]).withColumn("result_kind", F.lit("qa"))
 
 

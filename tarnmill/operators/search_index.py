@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmill.operators import retrieval
-from tarnmill.operators.neardup import numbered, stage
+from tarnmill.operators.staging import numbered, stage
 
 RANGE = 64  # documents of a block at most
 SEEDS = 4  # ranges of a query that are scored before the threshold is known
