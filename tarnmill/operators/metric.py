@@ -55,10 +55,19 @@ def fitted(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def centroids_of(held: DataFrame, sample: int = SAMPLE, cells: int | None = None) -> dict[int, tuple[int, np.ndarray]]:
+def reached(x: np.ndarray, c: np.ndarray, threshold: float) -> float:
+    """The share of (vector, cell) combinations of a sample that a join with this threshold has to look at."""
+    t = angles(x, c)
+    home, angle = t.argmin(1), t.min(1)
+    shape = {int(i): (0, angle[home == i].min(), angle[home == i].max()) for i in np.unique(home)}
+    return float(((bounds_of(x, 0, c, shape) >= threshold) & (t <= angle[:, None] + 2 * np.arccos(np.clip(threshold, -1, 1)))).mean())
+
+
+def centroids_of(held: DataFrame, sample: int = SAMPLE, cells: int | None = None, threshold: float | None = None) -> dict[int, tuple[int, np.ndarray]]:
     """The first cell's number and the centroids of each vector length; about four times the square root of the rows are cells.
 
-    All that comes to the driver is the sample: the vectors with a small enough hash of their id.
+    All that comes to the driver is the sample: the vectors with a small enough hash of their id. Where a join with
+    `threshold` would send the sample to most cells all the same, one cell holds all, whose parts meet as plain blocks.
     """
     sizes = {r.dims: r.n for r in held.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # one row a vector length
     share = min(1.0, sample / max(1, sum(sizes.values())))
@@ -68,6 +77,8 @@ def centroids_of(held: DataFrame, sample: int = SAMPLE, cells: int | None = None
         own = rows.filter(pa.compute.equal(rows.column("dims"), dims)).column("vector").combine_chunks()
         k = max(1, min(cells or int(4 * n**0.5), MOST_CELLS, (len(own) + 1) // 2))
         c = fitted(unit(own), k) if len(own) else np.eye(1, dims)  # lengths too rare for the sample have one cell
+        if threshold is not None and len(own) and reached(unit(own), c, threshold) > 0.5:
+            c = fitted(unit(own), 1)
         out[dims], first = (first, c), first + len(c)
     return out
 
@@ -121,9 +132,10 @@ class Cells:
         return self.rows.sparkSession.createDataFrame([(c, max(1, -(-n // PART))) for c, (n, _, _) in self.shape.items()], "cell int, parts int")
 
 
-def partition(rows: DataFrame, key: str, column: str, sample: int = SAMPLE, cells: int | None = None) -> Cells:
+def partition(rows: DataFrame, key: str, column: str, sample: int = SAMPLE, cells: int | None = None, threshold: float | None = None) -> Cells:
+    """The cells of rows(key, column); threshold is that of a join, if they are for one."""
     held = valid(rows, key, column)
-    centroids = centroids_of(held, sample, cells)
+    centroids = centroids_of(held, sample, cells, threshold)
     placed = stage(assigned(held, centroids), "cells")
     return Cells(centroids, placed, shapes(placed))
 

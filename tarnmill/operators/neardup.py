@@ -20,7 +20,7 @@ def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     Exact: vectors meet in the cells that the threshold lets them reach, and there as blocks that are multiplied as
     matrices. Null, empty and zero vectors match nothing; vectors of other lengths are other spaces.
     """
-    return metric.pairs(metric.partition(items, "id", "vector"), threshold)[0]
+    return metric.pairs(metric.partition(items, "id", "vector", threshold=threshold), threshold)[0]
 
 
 def connected(pairs: DataFrame) -> DataFrame:

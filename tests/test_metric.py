@@ -62,6 +62,11 @@ def test_search_finds_the_nearest(spark, vectors, tmp_path, k, least):
     assert seen.visited < seen.cells if k == 1 else seen.visited <= seen.cells
 
 
+def test_a_join_that_reaches_most_cells_takes_one(spark, vectors):
+    held = spark.createDataFrame([r for r in vectors if r[1] and len(r[1]) == 24], SCHEMA)
+    assert len(metric.partition(held, "id", "vector", threshold=0.0).shape) == 1 < len(metric.partition(held, "id", "vector", threshold=0.95).shape)
+
+
 def test_every_vector_is_in_one_cell_within_its_shape(spark, vectors):
     cells = metric.partition(spark.createDataFrame(vectors, SCHEMA), "id", "vector", cells=5)
     rows = cells.rows.collect()
