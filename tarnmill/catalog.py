@@ -374,7 +374,17 @@ def n01_cleanse(spark, sf_dir):
 LIMITS = chunking.ChunkLimits(6000, 8)
 
 
-@query()
+@query(rf"""WITH RECURSIVE c AS (SELECT source AS job, doc_id, trim(regexp_replace(text, '{W}+', ' ', 'g')) AS x FROM documents),
+cut AS (SELECT job, doc_id, 0 AS part, '' AS head, x AS rest FROM c WHERE x <> ''
+  UNION ALL SELECT job, doc_id, part + 1, trim(substr(rest, 1, stop)), trim(substr(rest, stop + 1)) FROM (
+    SELECT *, CASE WHEN length(rest) <= 6000 THEN length(rest) WHEN mark > 0 THEN mark WHEN clause > 0 THEN clause WHEN blank > 1 THEN blank - 1 ELSE 6000 END AS stop FROM (
+      SELECT *, length(regexp_extract(substr(rest, 1, 6000), '(?s)^.*[。．！？!?]\s*')) AS mark, length(regexp_extract(substr(rest, 1, 6000), '(?s)^.*[、，,；;:]\s*')) AS clause, length(regexp_extract(substr(rest, 1, 6000), '(?s)^.* ')) AS blank FROM cut WHERE rest <> ''))),
+items AS (SELECT job, head, length(head) AS len, row_number() OVER (PARTITION BY job ORDER BY doc_id, part) AS i FROM cut WHERE head <> ''),
+pack AS (SELECT job, i, 1 AS chunk_no, 1 AS n, len AS chars FROM items WHERE i = 1
+  UNION ALL SELECT p.job, t.i, p.chunk_no + CASE WHEN p.n < 8 AND p.chars + 2 + t.len <= 6000 THEN 0 ELSE 1 END, CASE WHEN p.n < 8 AND p.chars + 2 + t.len <= 6000 THEN p.n + 1 ELSE 1 END, CASE WHEN p.n < 8 AND p.chars + 2 + t.len <= 6000 THEN p.chars + 2 + t.len ELSE t.len END
+  FROM pack p JOIN items t ON t.job = p.job AND t.i = p.i + 1)
+SELECT p.job AS job_item_id, chunk_no, CAST(min(p.i) - 1 AS INTEGER) AS start_index, CAST(max(p.i) - 1 AS INTEGER) AS end_index, CAST(count(*) AS INTEGER) AS item_count, CAST(sum(len) AS INTEGER) AS char_count,
+  md5(string_agg(head, chr(10) || chr(10) ORDER BY p.i)) AS chunk_md5 FROM pack p JOIN items t ON t.job = p.job AND t.i = p.i GROUP BY p.job, chunk_no""")
 def p01_p04_chunks(spark, sf_dir):
     docs = t(spark, sf_dir, "documents").select(F.col("source").alias("job_item_id"), F.col("doc_id").alias("sort_no"), F.col("doc_id").alias("item_id"), "text")
     found = chunking.build_chunks(docs, LIMITS)

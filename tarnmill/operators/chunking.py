@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
-from tarnmill.operators import neardup
+from tarnmill.operators import staging
 
 #: Where a long text may be cut, best first (fixed values): after sentence marks, after clause marks.
 CUTS = (re.compile(r"[。．！？!?]\s*"), re.compile(r"[、，,；;:]\s*"))
@@ -50,7 +51,7 @@ def split_long(text: str, most: int) -> list[str]:
 
 
 class Packer:
-    """One job's open chunk: items come in order as (length, key), full chunks go out; only an open chunk's items are held."""
+    """One job's open chunk, for callers that pack as items come: (length, key) in order, full chunks go out, an open one's items are held."""
 
     def __init__(self, limits: ChunkLimits):
         self.limits, self.held, self.start, self.number = limits, [], 0, 0
@@ -102,32 +103,87 @@ def cut_items(items: DataFrame, limits: ChunkLimits) -> DataFrame:
     return items.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds) + ", part_id string, part int, text string")
 
 
-def members(parts: DataFrame, limits: ChunkLimits) -> DataFrame:
-    """(chunk_no, start_index, place, key): which parts(job, sort_no, item_id, row, part, length, key) each chunk holds, in order.
+BLOCK = 1 << 16  # items whose chunks are found together
 
-    This is the only sequential step: a job's lengths and keys, not its texts, go through one task, in order.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packer = None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for job, length, key in zip(*(batch.column(c).to_pylist() for c in ("job", "length", "key")), strict=True):
-                if packer is None or job != now:
-                    out += packer.end() if packer else ()
-                    now, packer = job, Packer(limits)
-                out += packer.add(length, key)
-            yield rows_of(out)
-        if packer:
-            yield rows_of(list(packer.end()))
 
-    def rows_of(chunks: list[tuple]) -> pa.RecordBatch:
-        rows = [(number, start, place, key) for number, start, keys in chunks for place, key in enumerate(keys)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["chunk_no", "start_index", "place", "key"])
+def following(jobs: np.ndarray, lengths: np.ndarray, own: int, whole: bool, limits: ChunkLimits) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first `own` items, how many items a chunk that begins there takes, and where the next chunk begins.
 
-    ordered = parts.repartition("job").sortWithinPartitions("job", "sort_no", "item_id", "row", "part").select("job", "length", "key")
-    return ordered.mapInArrow(run, "chunk_no int, start_index int, place int, key long")
+    jobs and lengths also hold items after those, up to what one chunk can take; whole says that no more items exist.
+    """
+    n = len(lengths)
+    sums = np.concatenate(([0], np.cumsum(lengths + 2)))  # with the separator that follows each item
+    last = np.append(np.flatnonzero(jobs[1:] != jobs[:-1]) + 1, n)
+    job_end = last[np.searchsorted(last, np.arange(own), side="right")]
+    i = np.arange(own)
+    end = np.searchsorted(sums, sums[:own] + limits.max_chars + 2, side="right") - 1
+    end = np.minimum(np.minimum(np.maximum(end, i + 1), i + limits.max_items), job_end)
+    size = end - i
+    closed = (end == job_end) & ((job_end < n) | whole)
+    overlap = limits.overlap_items
+    after = np.where(~closed & (size > overlap) & (overlap > 0), end - overlap, end)
+    return size, after
+
+
+def members(parts: DataFrame, limits: ChunkLimits, block_rows: int = BLOCK) -> DataFrame:
+    """(chunk, start, place, key): which parts(job, sort_no, item_id, row, part, length, key) each chunk holds, in order.
+
+    chunk and start count over all jobs, in the order of the jobs. Where the next chunk begins depends only on where this
+    one does, by prefix sums and a binary search, so blocks of items are worked in parallel: a block first says, for each
+    item where a chunk could enter it, where that chain of chunks leaves it, by doubling the steps. The blocks' answers are
+    put together in order, a short row a block, and then each block lists its chunks from where it is entered.
+    """
+    most = max(1, min(limits.max_items, (limits.max_chars + 2) // 3))  # a part has a character at least, and a separator of two
+    size = max(block_rows, 2 * most)
+    order = [F.col(c) for c in ("job", "sort_no", "item_id", "row", "part")]
+    placed = staging.numbered(parts.select("job", "sort_no", "item_id", "row", "part", "length", "key"), order, "at").select("job", "length", "key", (F.col("at") - 1).alias("at"))
+    block = F.floor(F.col("at") / size)
+    ahead = (F.col("at") % size < most) & (block > 0)  # the block before looks this far
+    dealt = placed.select("*", F.explode(F.when(ahead, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+    dealt = staging.stage(dealt, "dealt")
+
+    def laid(rows: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
+        rows = rows.sort_by("at")
+        own = min(rows.num_rows, size)
+        jobs = rows.column("job").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return rows, own, *following(jobs, rows.column("length").to_numpy().astype(np.int64), own, rows.num_rows < size + most, limits)
+
+    def chains(key: tuple, rows: pa.Table) -> pa.Table:
+        _, own, _, after = laid(rows)
+        end = own + most + 1
+        to, steps = np.concatenate((after, np.arange(own, end))), np.concatenate((np.ones(own, np.int64), np.zeros(end - own, np.int64)))
+        while (to[:own] < own).any():
+            steps, to = steps + steps[to], to[to]
+        entries = min(own, most)
+        return pa.table({"block": [key[0].as_py()], "leaves": pa.array([to[:entries] - own], pa.list_(pa.int64())), "steps": pa.array([steps[:entries]], pa.list_(pa.int64()))})
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = chunk = 0
+        for batch in batches:
+            out = []
+            for n, leaves, steps in zip(batch.column("block").to_pylist(), batch.column("leaves"), batch.column("steps"), strict=True):
+                out.append((n, at, chunk))
+                if at < len(leaves):
+                    at, chunk = leaves[at].as_py(), chunk + steps[at].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["block", "entry", "first"])
+
+    def listed(key: tuple, rows: pa.Table, entry: pa.Table) -> pa.Table:
+        rows, own, sizes, after = laid(rows)
+        starts, at = [], entry.column("entry")[0].as_py()
+        while at < own:
+            starts.append(at)
+            at = after[at]
+        starts = np.array(starts, np.int64)
+        taken = sizes[starts]
+        place = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+        return pa.table({
+            "chunk": entry.column("first")[0].as_py() + np.repeat(np.arange(len(starts)), taken), "start": key[0].as_py() * size + np.repeat(starts, taken),
+            "place": place, "key": rows.column("key").take(pa.array(np.repeat(starts, taken) + place)),
+        })
+
+    tables = dealt.groupBy("block").applyInArrow(chains, "block long, leaves array<long>, steps array<long>")
+    entries = tables.repartition(1).sortWithinPartitions("block").mapInArrow(entered, "block long, entry long, first long")  # a row for BLOCK items
+    return dealt.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(listed, "chunk long, start long, place long, key long")
 
 
 def build_chunks(items: DataFrame, limits: ChunkLimits, job: str = "job_item_id") -> DataFrame:
@@ -135,14 +191,17 @@ def build_chunks(items: DataFrame, limits: ChunkLimits, job: str = "job_item_id"
 
     Items are collapsed, blank ones dropped, long ones cut with `:part_n` ids. Chunk after chunk takes items while they
     fit; the next one begins `overlap_items` before the end, unless that is no progress. Rows that share a job, sort_no and
-    item_id come one after the other. Texts are cut where they are read and joined by chunk, so a job may hold any share of
-    all texts; only its lengths are read in order.
+    item_id come one after the other. Texts are cut where they are read and joined by chunk, and chunks are found in blocks
+    of items, so a job may hold any share of all items.
     """
     rows = items.select(F.col(job).alias("job"), "sort_no", F.col("item_id").cast("string").alias("item_id"), T.collapse(F.col("text")).alias("text")).filter("text <> ''")
-    parts = neardup.stage(cut_items(rows, limits).withColumn("key", F.monotonically_increasing_id()), "parts")
+    parts = staging.stage(cut_items(rows, limits).withColumn("key", F.monotonically_increasing_id()), "parts")
     placed = members(parts.withColumns({"row": F.col("key") - F.col("part"), "length": F.length("text")}), limits)
     each = F.struct("place", "part_id", "text")
-    chunks = placed.join(parts.select("key", "job", "part_id", "text"), "key").groupBy("job", "chunk_no", "start_index").agg(F.array_sort(F.collect_list(each)).alias("held"))
+    chunks = placed.join(parts.select("key", "job", "part_id", "text"), "key").groupBy("job", "chunk", "start").agg(F.array_sort(F.collect_list(each)).alias("held"))
+    chunks = staging.stage(chunks, "chunks")
+    firsts = chunks.groupBy(F.col("job").alias("__job")).agg(F.min("chunk").alias("first_chunk"), F.min("start").alias("first_start"))
+    chunks = chunks.join(firsts, F.col("job").eqNullSafe(F.col("__job"))).withColumns({"chunk_no": (F.col("chunk") - F.col("first_chunk") + 1).cast("int"), "start_index": (F.col("start") - F.col("first_start")).cast("int")})
     size = F.size("held")
     chars = F.aggregate("held", F.lit(0), lambda n, x: n + F.length(x["text"]))
     return chunks.select(

@@ -36,4 +36,4 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return ranged.join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("int")).drop("__part", "__before", *keys)
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, (place + F.col("__before")).cast("long")).drop("__part", "__before", *keys)

@@ -133,6 +133,25 @@ def test_long_texts_are_cut_within_the_limit(raw, most):
     assert "".join(parts).replace(" ", "") == text.replace(" ", "")
 
 
+@pytest.mark.parametrize("limits", [(40, 5, 0), (40, 5, 2), (200, 3, 2), (60, 1000, 3), (10, 1, 0), (500, 7, 6)])
+def test_chunks_found_in_blocks_are_those_of_the_packer(spark, limits):
+    """Blocks of few items, jobs of one item and of many blocks, items over the limit."""
+    limits, rng = chunking.ChunkLimits(*limits), random.Random(limits[0])
+    rows = [(job, k, str(k), 0, 0, rng.choice([1, 3, 9, 30, 70]), 1000 * j + k) for j, job in enumerate(["a", "b", None, "c", "d"]) for k in range((1, 150, 40, 13, 1)[j])]
+    parts = spark.createDataFrame(rows, "job string, sort_no int, item_id string, row int, part int, length int, key long").repartition(4)
+    found = {}
+    for r in chunking.members(parts, limits, block_rows=16).collect():
+        found.setdefault(r.chunk, []).append((r.place, r.key))
+    got = [[k for _, k in sorted(found[c])] for c in sorted(found)]
+    want = []
+    for job in (None, "a", "b", "c", "d"):
+        packer = chunking.Packer(limits)
+        for r in sorted((r for r in rows if r[0] == job), key=lambda r: r[1]):
+            want += [keys for _, _, keys in packer.add(r[5], r[6])]
+        want += [keys for _, _, keys in packer.end()]
+    assert sorted(found) == list(range(len(want))) and got == want
+
+
 def test_chunks_of_jobs(spark):
     items = spark.createDataFrame([("j1", 1, "a", "one two"), ("j1", 2, "b", " "), ("j1", 3, "c", "x" * 25), ("j1", 4, "d", None), ("j2", 1, "e", "solo")], "job_item_id string, sort_no int, item_id string, text string")
     got = chunking.build_chunks(items, chunking.ChunkLimits(20, 3, 1)).orderBy("job_item_id", "chunk_no").collect()
