@@ -175,8 +175,14 @@ def extended(words: DataFrame, found: DataFrame | None, level: int) -> DataFrame
 
     schema = "left long, right long, n long, code long"
     none = pa.table({k: pa.array([], pa.int64()) for k in ("left", "right", "n", "code")})
-    if found is None:
-        return words.groupBy("shard").applyInArrow(lambda key, row: grow(key[0].as_py(), row, None), schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from grow(batch.column("shard")[i].as_py(), pa.Table.from_batches([batch.slice(i, 1)]), None).to_batches()
+
+    if found is None:  # every row is a shard, so none need move
+        return words.mapInArrow(each, schema)
     return words.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda key, row, known: grow(key[0].as_py(), row, known) if row.num_rows and known.num_rows else none, schema)
 
 
