@@ -7,8 +7,11 @@ changed names, years or line breaks are found, and where they lie.
 
 Only the parts of a text that hold word pairs of a notice are aligned, each with a notice's length of words around it; a
 notice that lacks a word pair of the text, or too many of its words, cannot reach the least coverage there. Copies that lie close together are aligned each on its own:
-word pairs vote for the places where a copy would start, and each such place is a window too. Null or empty
-texts have no license. Null or repeated doc_ids are carried through; extra columns are ignored.
+word pairs vote for the places where a copy would start, and each such place is a window too.
+
+Most words of a notice may change, but not those that tell licenses and their versions apart (NAMING, and numbers): each of
+a notice's must be matched where it first stands, and none may be put in within the matched span, numbers only where they stand beside a naming
+word. A variant that no notice has is thus no license rather than a wrong one. Null or empty texts have no license. Null or repeated doc_ids are carried through; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +63,38 @@ NOTICES = {
 }
 
 
+#: Words that name a license, a variant or a version (fixed values); `by` names one only after `cc`.
+NAMING = frozenset(
+    "0bsd affero afl agpl apache artistic attribution boost bsd bsl cc cc0 cddl commons creative ecl eclipse epl eupl gfdl gnu gpl isc lesser lgpl mit mozilla mpl "
+    "nc nd noncommercial noderivatives noderivs openssl osl php postgresql proprietary python sa sharealike unlicense version wtfpl zlib".split()
+)
+
+
+def naming(word: str) -> bool:
+    return word in NAMING
+
+
+def numeral(word: str) -> bool:
+    return word[:1].isdigit() or (word[:1] == "v" and word[1:2].isdigit())
+
+
+def same_name(notice: list[str], window: list[str], matched: list[tuple[int, int]], after: str = "") -> bool:
+    """Whether an alignment keeps every naming word and number of the notice, and puts in none; `after` is the text's next word."""
+    kept = {i for i, _ in matched}
+    if any((naming(x) or numeral(x)) and notice.index(x) not in kept for x in set(notice)):
+        return False
+    there = {j for _, j in matched}
+    first, last = matched[0][1], matched[-1][1]
+    if naming(window[last]) and numeral(window[last + 1] if last + 1 < len(window) else after):
+        return False
+    for j in range(first, last + 1):
+        if j not in there:
+            x, beside = window[j], [window[k] for k in (j - 1, j + 1) if first <= k <= last]
+            if naming(x) or (numeral(x) and any(naming(b) or numeral(b) or b == "by" for b in beside)):
+                return False
+    return True
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -192,7 +227,7 @@ class Notices:
         if sum((Counter(notice) & Counter(window)).values()) < least * n:
             return None
         matched = patience(notice, window)
-        if matched and len(matched) >= least * n and matched[-1][1] - matched[0][1] < 3 * n:
+        if matched and len(matched) >= least * n and matched[-1][1] - matched[0][1] < 3 * n and same_name(notice, window, matched, w[hi] if hi < len(w) else ""):
             return lo + matched[0][1], lo + matched[-1][1], len(matched)
         return None
 

@@ -193,6 +193,47 @@ def test_every_intact_copy_is_found_among_edited_ones(name, copies, gap):
     assert len(mine) <= copies
 
 
+@pytest.mark.parametrize("text", [
+    "Released under the BSD License", "Licensed under the GPL License", "Licensed under the Zlib License", "Licensed under the Apache License, Version 1.1", "released under the new license", "Released under the MIT-0 License",
+    "This work is licensed under the GNU General Public License, version 2", "This work is licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3",
+    "Licensed under CC BY-ND 4.0", "Licensed under CC BY 3.0", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-NC-ND 4.0", "Distributed under the Boost Software License, Version 2.0.",
+])
+def test_a_variant_that_no_notice_has_is_no_license(text):
+    ready = license_scan.Notices(license_scan.NOTICES)
+    assert ready.find(text, 0.8) == ready.find(f"{words(1, 40)} {text}. {words(2, 40)}", 0.8) == []
+
+
+def test_longer_names_are_not_shorter_ones():
+    ready = license_scan.Notices(license_scan.NOTICES)
+    for name in ("LGPL-3.0", "AGPL-3.0", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"):
+        for text in license_scan.NOTICES[name]:
+            assert {f[0] for f in ready.find(f"{words(3, 30)} {text} {words(4, 30)}", 0.8)} == {name}
+
+
+def test_a_notice_with_one_naming_word_changed_is_not_that_license():
+    ready, other = license_scan.Notices(license_scan.NOTICES), {"mit": "bsd", "gnu": "mit", "nc": "nd", "sa": "nd", "lesser": "affero", "affero": "lesser"}
+    n = 0
+    for name, texts in license_scan.NOTICES.items():
+        for notice in map(license_scan.words, texts):
+            for i, word in enumerate(notice):
+                if i == notice.index(word) and (license_scan.naming(word) and word != "version" or license_scan.numeral(word)):
+                    changed = [*notice[:i], "7" if license_scan.numeral(word) else other.get(word, "proprietary"), *notice[i + 1 :]]
+                    assert name not in {f[0] for f in ready.find(" ".join(changed), 0.8)}, (name, word)
+                    n += 1
+    assert n > 30
+
+
+def test_a_long_notice_with_other_words_changed_is_still_found():
+    ready, rng = license_scan.Notices(license_scan.NOTICES), random.Random(8)
+    for name, texts in license_scan.NOTICES.items():
+        notice = license_scan.words(max(texts, key=len))
+        free = [i for i, w in enumerate(notice) if not (license_scan.naming(w) or license_scan.numeral(w))]
+        if len(notice) >= 20:
+            for i in rng.sample(free, len(notice) // 10):
+                notice[i] = "qq"
+            assert ready.find(" ".join(["Copyright 2019 x", *notice]), 0.8)[0][0] == name
+
+
 def test_each_notice_is_its_own_license():
     ready = license_scan.Notices(license_scan.NOTICES)
     for name, texts in license_scan.NOTICES.items():
