@@ -469,6 +469,14 @@ def f03_f16_latest_parent_children(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").join(newest.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)")
+def f03_f16_children_of_the_newest(spark, sf_dir):
+    """The lines of the newest order of all, in order."""
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return relational.latest_with_children(orders, lines, "l_orderkey", [F.col("o_orderdate").desc(), F.col("l_orderkey").desc()], [F.col("l_linenumber")])
+
+
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
 def j08_existence(spark, sf_dir):
     customers, orders = t(spark, sf_dir, "customer").select("c_custkey"), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))

@@ -190,12 +190,12 @@ def n02_n03_item_vectors(spark, sf_dir):
     return found.select(F.col("c_custkey").alias("id"), v[0].alias("x"), v[1].alias("y"))
 
 
-@query("""SELECT 'e_' || doc_id AS entry_id, source AS title, md5(source || ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' || source || ' ' || array_to_string(t, ' ')) AS search_text FROM (
-  SELECT doc_id, source, text, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda z: length(z) >= 2) AS all_t,
-    list_transform(list_filter(list_transform(range(1, len(all_t) + 1), lambda i: [CAST(i AS VARCHAR), all_t[i]]), lambda p: list_position(all_t, p[2]) = CAST(p[1] AS INTEGER)), lambda p: p[2]) AS t FROM documents WHERE length(text) BETWEEN 20 AND 4000 AND doc_id > 0) WHERE len(t) > 0""")
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda z: length(z) >= 2)) AS w, generate_subscripts(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda z: length(z) >= 2), 1) AS i FROM documents WHERE doc_id > 0),
+f AS (SELECT doc_id, w, min(i) AS i FROM t GROUP BY ALL), g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS ws FROM f GROUP BY doc_id)
+SELECT 'e_' || doc_id AS entry_id, source AS title, md5(source || ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' || source || ' ' || ws) AS search_text FROM documents JOIN g USING (doc_id)""")
 def n08_entries(spark, sf_dir):
-    """Documents of ordinary length as plain items; duplicates, of which item 0 is one, make no entry."""
-    docs = t(spark, sf_dir, "documents").filter("length(text) between 20 and 4000")
+    """Documents that have a token as plain items; duplicates, of which item 0 is one, make no entry."""
+    docs = t(spark, sf_dir, "documents")
     items = docs.select(F.col("doc_id").alias("knowledge_id"), F.lit("plain").alias("knowledge_type"), F.col("source").alias("title"), F.lit("").alias("question"), F.lit("").alias("answer"), F.col("text").alias("content"), F.lit(None).cast("array<double>").alias("vector"), F.col("source").alias("source_item_id"), F.col("doc_id").alias("sort_no"), F.when(F.col("doc_id") == 0, 1).alias("is_duplicate"))
     return refine.build_entries(items).filter(F.size(retrieval.tokens(F.col("content"), 2)) > 0).select("entry_id", "title", F.md5("search_text").alias("search_text"))
 
