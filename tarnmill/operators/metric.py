@@ -127,9 +127,9 @@ class Cells:
     rows: DataFrame
     shape: dict[int, tuple[int, float, float]]
 
-    def sizes(self) -> DataFrame:
-        """(cell, parts): in how many parts a cell's rows are dealt; small enough to be broadcast."""
-        return self.rows.sparkSession.createDataFrame([(c, max(1, -(-n // PART))) for c, (n, _, _) in self.shape.items()], "cell int, parts int")
+    def sizes(self, part: int = PART) -> DataFrame:
+        """(cell, parts): in how many parts of about `part` a cell's rows are dealt; small enough to be broadcast."""
+        return self.rows.sparkSession.createDataFrame([(c, max(1, -(-n // part))) for c, (n, _, _) in self.shape.items()], "cell int, parts int")
 
 
 def partition(rows: DataFrame, key: str, column: str, sample: int = SAMPLE, cells: int | None = None, threshold: float | None = None) -> Cells:
@@ -221,7 +221,7 @@ def search(cells: Cells, queries: DataFrame, k: int | None = None, least: float
     return hits(judged.filter("visited").select("query_id", "vector", "cell")), report
 
 
-def pairs(cells: Cells, threshold: float) -> tuple[DataFrame, DataFrame]:
+def pairs(cells: Cells, threshold: float, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """All pairs (a, b, score) with a < b and a cosine of `threshold` or more, and the report (cell, residents, visitors, compared).
 
     A vector goes to the cells after its own that hold something near enough by their bound, and by its angles to the two
@@ -240,9 +240,9 @@ def pairs(cells: Cells, threshold: float) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[v])), pa.array(list(x[v]), pa.list_(pa.float64())), pa.array(first + cell, pa.int32())], ["a", "vector", "cell"])
 
     visitors = stage(cells.rows.mapInArrow(route, f"a {kind}, vector array<double>, cell int"), "visitors")
-    sizes = cells.sizes().join(visitors.groupBy("cell").agg(F.count("*").alias("visitors")), "cell", "left")
+    sizes = cells.sizes(part).join(visitors.groupBy("cell").agg(F.count("*").alias("visitors")), "cell", "left")
     residents = cells.rows.groupBy("cell").agg(F.count("*").alias("residents"))
-    sizes = stage(residents.join(sizes, "cell").select("cell", "parts", "residents", F.coalesce("visitors", F.lit(0)).alias("visitors")).withColumn("shares", F.ceil((F.col("residents") + F.col("visitors")) / PART).cast("int")), "sizes")
+    sizes = stage(residents.join(sizes, "cell").select("cell", "parts", "residents", F.coalesce("visitors", F.lit(0)).alias("visitors")).withColumn("shares", F.ceil((F.col("residents") + F.col("visitors")) / part).cast("int")), "sizes")
     each = F.broadcast(sizes.select("cell", "parts", "shares"))  # a row a cell
     left = visitors.select("a", F.lit(False).alias("home"), "vector", "cell").unionByName(cells.rows.select(F.col("id").alias("a"), F.lit(True).alias("home"), "vector", "cell"))
     left = in_all(dealt(left.join(each, "cell"), "shares", "share", "a"), "parts", "part").drop("parts", "shares")

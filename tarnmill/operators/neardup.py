@@ -14,13 +14,13 @@ from tarnmill.operators.staging import numbered, stage, stage_dir  # noqa: F401
 THRESHOLDS = {"qa": 0.85, "plain": 0.95}
 
 
-def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float, block_rows: int = metric.PART) -> DataFrame:
     """All pairs (a, b, score) of items(id, vector) with a < b and cosine of `threshold` or more.
 
     Exact: vectors meet in the cells that the threshold lets them reach, and there as blocks that are multiplied as
     matrices. Null, empty and zero vectors match nothing; vectors of other lengths are other spaces.
     """
-    return metric.pairs(metric.partition(items, "id", "vector", threshold=threshold), threshold)[0]
+    return metric.pairs(metric.partition(items, "id", "vector", threshold=threshold), threshold, block_rows)[0]
 
 
 def connected(pairs: DataFrame) -> DataFrame:
