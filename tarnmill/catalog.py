@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import html, scoring, urls
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
-from tarnmill.operators import chunking, jobs, metric, neardup, refine, relational, retrieval, search_index, splitting
+from tarnmill.operators import chunking, jobs, metric, neardup, refine, relational, retrieval, search_index, splitting, staging
 from tarnmill.plans import page_scoring
 from tarnmill.registry import QUERIES, SQL, query, t  # noqa: F401
 from tarnmill.sources import readers, sinks
@@ -183,7 +183,7 @@ VECTORS: dict[tuple[str, str], str] = {}
 def vector_index(spark: SparkSession, sf_dir: str) -> metric.Cells:
     """The stored cells of all embeddings, built by the first search that asks for them."""
     held = (spark.sparkContext.applicationId, sf_dir)
-    if held not in VECTORS:
+    if held not in VECTORS or not staging.exists(spark, f"{VECTORS[held]}/rows/_SUCCESS"):
         path = f"{neardup.stage_dir(spark)}/vectors-{uuid.uuid4().hex}"
         metric.write_index(metric.partition(t(spark, sf_dir, "embeddings"), "vec_id", "embedding"), path)
         VECTORS[held] = path
@@ -246,7 +246,7 @@ INDEXES: dict[tuple[str, str], str] = {}
 def document_index(spark: SparkSession, sf_dir: str) -> search_index.Index:
     """The stored full-text index of all documents, built by the first search that asks for it."""
     held = (spark.sparkContext.applicationId, sf_dir)
-    if held not in INDEXES:
+    if held not in INDEXES or not search_index.segments(spark, INDEXES[held]):
         path = f"{neardup.stage_dir(spark)}/documents-index-{uuid.uuid4().hex}"
         search_index.append(t(spark, sf_dir, "documents"), path, "all", "doc_id", "text", "lang")
         INDEXES[held] = path

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmill.operators import retrieval
-from tarnmill.operators.staging import numbered, stage
+from tarnmill.operators.staging import exists, numbered, stage
 
 RANGE = 64  # documents of a block at most
 SEEDS = 4  # ranges of a query that are scored before the threshold is known
@@ -41,13 +41,11 @@ class Index:
 
 def segments(spark: SparkSession, path: str) -> list[str]:
     """Names of the segments that count; a segment is a batch of entries, so they are as many as the batches were."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+    if not exists(spark, path):
         return []
-    names = [s.getPath().getName().removeprefix("segment=") for s in fs.listStatus(folder)]
-    done = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment={name}/stats/_SUCCESS"))
-    return sorted(name for name in names if done(name))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName().removeprefix("segment=") for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(name for name in names if exists(spark, f"{path}/segment={name}/stats/_SUCCESS"))
 
 
 def append(entries: DataFrame, path: str, segment: str, key: str, column: str, kind: str | None = None, range_docs: int = RANGE) -> bool:

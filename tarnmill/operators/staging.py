@@ -20,6 +20,11 @@ def stage_dir(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder, and reads it back."""
     spark = df.sparkSession
