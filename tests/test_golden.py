@@ -376,3 +376,17 @@ def test_streamed_progress(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert sorted(map(tuple, spark.table("streamed").collect())) == sorted(map(tuple, progress.windowed_progress(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()))
+
+
+def test_progress_does_not_depend_on_how_files_fall_into_batches(spark, tmp_path):
+    """Files of one row each, newest first, a batch a file: none is too late."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(hours=5 * i), i % 2, ("purchase", "error", "view")[i % 3]) for i in range(6)]
+    schema = "ts timestamp_ntz, user_id long, event_type string"
+    for row in reversed(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    count = lambda **more: sorted(map(tuple, progress.follow(spark, str(tmp_path / "events"), spark.createDataFrame([], schema).schema, **more).collect()))
+    one, each = count(folder=str(tmp_path / "a")), count(folder=str(tmp_path / "b"), files_a_batch=1)
+    assert one == each and len(one) == 6 and sum(r[2] for r in one) == 6
