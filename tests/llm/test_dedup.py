@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -199,11 +200,47 @@ def test_edit_similarity_is_exact(spark):
         a = words(i, 25).split()
         b = [w if rng.random() > i / 200 else words(999 + i, 1) for w in a]
         pairs.append((" ".join(a), " ".join(b)))
+    for n in range(3, 40):  # one long word, and n others of which some change
+        a = words(500 + n, n).split() + ["q" * 60]
+        pairs.append((" ".join(a), " ".join(w if rng.random() > n / 90 else words(700 + n, 1) for w in a)))
     df = spark.createDataFrame(pairs, "x string, y string")
-    got = df.select(line_dedup.edit_similar(line_dedup.compared(F.col("x")), line_dedup.compared(F.col("y")), 0.8).alias("got"), (1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))).alias("exact")).collect()
+    got = df.select(line_dedup.edit_similar(line_dedup.compared(F.col("x"), 0.8), line_dedup.compared(F.col("y"), 0.8), 0.8).alias("got"), (1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))).alias("exact")).collect()
     assert [r.got for r in got] == [r.exact >= 0.8 - 1e-9 for r in got] and {r.got for r in got} == {True, False}
 
 
+def test_a_long_word_does_not_make_a_long_line_slow(spark):
+    """A line of 0.15 MB with a word of 2,000 letters and 3% of its words changed is compared by its 30,000 words, not by letters."""
+    rng = random.Random(4)
+    a = words(31, 30_000).split()
+    b = [w if rng.random() > 0.03 else words(i, 1, "xo xu xy") for i, w in enumerate(a)]
+    df = spark.createDataFrame([(" ".join([*a, "q" * 2000]), " ".join([*b, "q" * 2000]))], "x string, y string")
+    side = df.select(line_dedup.compared(F.col("x"), 0.8).alias("x"), line_dedup.compared(F.col("y"), 0.8).alias("y"))
+    start = time.time()
+    assert side.select(line_dedup.edit_similar(F.col("x"), F.col("y"), 0.8).alias("got")).first().got
+    assert time.time() - start < 60
+
+
+def test_large_line_buckets_give_what_all_pairs_give(make, monkeypatch):
+    """Lines that share their long words meet in large buckets; few are similar, and links cross buckets."""
+    rng, heads = random.Random(21), ["internationalization constitutionality", "counterrevolutionary misunderstanding"]
+    rows = []
+    for i in range(160):
+        tail = words(3000 + i // 2, 6 + i % 7).split()
+        if i % 2:
+            tail[rng.randrange(len(tail))] = words(9000 + i, 1)
+        rows.append((i, f"{heads[i % 3 == 0]} {' '.join(tail)}"))
+    blocks, seen = line_dedup.compare_blocks, []
+
+    def small_blocks(apart, texts, similarity):
+        seen.append(apart.count())
+        return blocks(apart, texts, similarity, 7)
+
+    monkeypatch.setattr(line_dedup, "compare_blocks", small_blocks)
+    kept = lambda few: {r.doc_id for r in line_dedup.dedup(make(rows), few=few).collect() if r.text}
+    plain = kept(10**9)
+    assert not seen and kept(2) == plain and seen[0] > 100 and 80 <= len(plain) < 160
+
+
 def test_simhash_is_the_majority_of_its_words(spark):
     lines = [(i, i, 0, words(i, 1 + i * 3)) for i in range(30)] + [(40, 40, 0, " ".join(f"w{i}" for i in range(700)))]
     got = line_dedup.simhashes(spark.createDataFrame(lines, "row long, doc_id long, pos int, line string")).collect()
