@@ -5,15 +5,16 @@ Stand-ins as in catalog.py; orders are jobs, lineitem their items, customers upl
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
 from tarnmill.functions import vectors as V
-from tarnmill.operators import jobs, neardup, refine, relational, retrieval, splitting
+from tarnmill.operators import jobs, neardup, refine, relational, retrieval, splitting, staging
 from tarnmill.registry import query, t
-from tarnmill.sources import readers, sinks
+from tarnmill.sources import readers, rest, sinks
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
 
@@ -104,6 +105,61 @@ def s17_details_of_a_listing(spark, sf_dir):
     return readers.read_details(listing.unionByName(listing), t(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+def served(records, scan, order, size):
+    """A fetcher over replies that Spark writes from records: pages of `size` records a scan, each in a folder of its own."""
+    spark = records.sparkSession
+    named = [c for c in records.columns if c != scan]
+    placed = staging.numbered(records, [F.col(scan), F.col(order)])
+    firsts = placed.groupBy(scan).agg(F.min("number").alias("first"), F.count("*").alias("total"))
+    at = placed.join(firsts, scan).withColumn("at", F.expr(f"floor((number - first) / {size}) * {size}"))
+    pages = at.groupBy(F.col(scan).alias("scan"), "at", "total").agg(F.sort_array(F.collect_list(F.struct("number", *named))).alias("rows"))
+    folder = f"{staging.stage_dir(spark)}/replies-{uuid.uuid4().hex}"
+    pages.select("scan", "at", "total", F.to_json("rows").alias("reply")).repartition("scan", "at").write.partitionBy("scan", "at").parquet(folder)
+
+    def page(scan, at):
+        import pyarrow.dataset as ds
+
+        try:
+            row = ds.dataset(f"{folder}/scan={scan}/at={at}", format="parquet").to_table().to_pylist()[0]
+        except FileNotFoundError:
+            return 0, []
+        return row["total"], json.loads(row["reply"])
+
+    return page
+
+
+@query("SELECT c_nationkey, c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n <= 250")
+def s02_paged_speeches(spark, sf_dir):
+    """Customers as speeches, a query a nation: cursors of pages of 100 are followed, up to 250 records a query."""
+    people = t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+    page = served(people, "c_nationkey", "c_custkey", 100)
+
+    def fetch(endpoint, params):
+        at = params["startRecord"]
+        total, records = page(params["nation"], at - 1)
+        return {"speechRecord": records, "nextRecordPosition": at + 100 if at + 99 < total else None}
+
+    queries = [{"nation": n} for n in range(25)]
+    found = rest.read_speeches(spark, fetch, "speech", "speech", queries, "c_custkey long, c_name string", 250, 500)
+    return found.select(F.col("scan").alias("c_nationkey"), "record.c_custkey", "record.c_name")
+
+
+@query("SELECT p_partkey, n AS number FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_size % 3 <> 1) WHERE n <= 1000000")
+def s03_paged_datasets(spark, sf_dir):
+    """Parts as datasets of a catalog, 200 a page; a third of them have no resource of an allowed format, the cap is a million."""
+    kind = F.expr("CASE p_size % 3 WHEN 0 THEN 'CSV' WHEN 1 THEN 'exe' ELSE '' END")
+    resource = F.struct(kind.alias("format"), F.when(F.col("p_size") % 3 == 2, "http://p/x.csv").otherwise("http://p/x").alias("url"))
+    sets = t(spark, sf_dir, "part").select(F.lit(0).alias("scan_no"), "p_partkey", F.array(resource).alias("resources"))
+    page = served(sets, "scan_no", "p_partkey", 200)
+
+    def fetch(endpoint, params):
+        total, records = page(0, params["start"])
+        return {"success": True, "result": {"count": total, "results": records}}
+
+    kind = "struct<p_partkey:bigint,resources:array<struct<format:string,url:string>>>"
+    return rest.read_catalog(spark, fetch, "search", {"rows": 200, "start": 0}, kind, ["csv"], 1_000_000).select("record.p_partkey", "number")
+
+
 # Text
 
 
