@@ -15,6 +15,7 @@ from tarnmill.functions import vectors as V
 from tarnmill.operators import jobs, neardup, refine, relational, retrieval, splitting, staging
 from tarnmill.registry import query, t
 from tarnmill.sources import readers, rest, sinks
+from tarnmill.streaming import job_states
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
 
@@ -160,6 +161,25 @@ def s03_paged_datasets(spark, sf_dir):
     return rest.read_catalog(spark, fetch, "search", {"rows": 200, "start": 0}, kind, ["csv"], 1_000_000).select("record.p_partkey", "number")
 
 
+EVENT_STATUS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' ELSE 'queued' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS job_id, event_id % 20 AS chunk_no, event_id, ts, {EVENT_STATUS} AS status FROM events),
+c AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY job_id, chunk_no ORDER BY ts DESC, event_id DESC) = 1),
+s AS (SELECT job_id, count(*) AS total_chunks, count(*) FILTER (status = 'done') AS done_chunks, count(*) FILTER (status = 'error') AS error_chunks, arg_max('e' || event_id, chunk_no) FILTER (status = 'error') AS last_error, max(ts) AS last FROM c GROUP BY job_id),
+f AS (SELECT job_id, min(ts) AS started_at FROM e WHERE status <> 'queued' GROUP BY job_id),
+j AS (SELECT *, total_chunks - done_chunks - error_chunks AS rest FROM s LEFT JOIN f USING (job_id)),
+k AS (SELECT *, CASE WHEN rest = total_chunks THEN 'new' WHEN rest > 0 THEN 'running' WHEN error_chunks > 0 THEN 'partial_error' ELSE 'done' END AS status FROM j)
+SELECT job_id, total_chunks, done_chunks, error_chunks, last_error, status, CASE status WHEN 'new' THEN 'queued' WHEN 'running' THEN 'generating' ELSE 'generated' END AS phase, started_at, CASE WHEN rest = 0 THEN last END AS finished_at FROM k""")
+def a02_k13_streamed_job_states(spark, sf_dir):
+    """The event files as a stream, taken to its end: users as jobs, each with up to 20 chunks whose states change."""
+    def prepare(events):
+        return events.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 20).alias("chunk_no"), "event_id", "ts", F.expr(EVENT_STATUS).alias("status"), F.concat(F.lit("e"), "event_id").alias("message"))
+
+    found = job_states.follow(spark, f"{sf_dir}/events.parquet*", t(spark, sf_dir, "events").schema, prepare)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
+
+
 # Text
 
 
