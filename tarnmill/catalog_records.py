@@ -11,8 +11,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
+from tarnmill.functions import urls
 from tarnmill.functions import vectors as V
-from tarnmill.operators import jobs, neardup, refine, relational, retrieval, splitting, staging
+from tarnmill.operators import crawl, jobs, neardup, refine, relational, retrieval, splitting, staging
+from tarnmill.plans import page_scoring
 from tarnmill.registry import query, t
 from tarnmill.sources import readers, rest, sinks
 from tarnmill.streaming import job_states
@@ -161,6 +163,41 @@ def s03_paged_datasets(spark, sf_dir):
     return rest.read_catalog(spark, fetch, "search", {"rows": 200, "start": 0}, kind, ["csv"], 1_000_000).select("record.p_partkey", "number")
 
 
+SHOP = "'http://shop.example.org/"
+CRAWL = page_scoring.checked_crawl({"include_root_page": True, "same_domain_only": True, "max_depth": 3, "max_pages": 40, "priority_keywords": ["7.html"], "deprioritize_keywords": ["3.html"]})
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), there AS (SELECT p_partkey AS p FROM part WHERE p_size <= 45),
+  e AS (SELECT {SHOP}s/' || s || '.html' AS url, {SHOP}p/' || p || '.html' AS link, p AS num FROM l UNION ALL SELECT {SHOP}p/' || p || '.html', {SHOP}s/' || s || '.html', s FROM l JOIN there USING (p)),
+  k AS (SELECT url, list(link ORDER BY 100 * CAST(contains(link, '7.html') AS INTEGER) - 120 * CAST(contains(link, '3.html') AS INTEGER) DESC, num) AS links FROM e GROUP BY url),
+  w AS (SELECT {SHOP}s/' || s_suppkey || '.html' AS root, 1 AS place, {SHOP}s/' || s_suppkey || '.html' AS url, CAST(NULL AS VARCHAR) AS parent_url, 0 AS depth, coalesce(links, []) AS kids,
+      list_transform(list_reverse(coalesce(links, [])), lambda x: {{'url': x, 'parent': CAST(NULL AS VARCHAR), 'depth': 1}}) AS waiting, coalesce(links, []) AS seen
+      FROM supplier LEFT JOIN k ON k.url = {SHOP}s/' || s_suppkey || '.html'
+    UNION ALL SELECT root, place + 1, page.url, page.parent, page.depth, new,
+      list_concat(rest, list_transform(list_reverse(new)[1:greatest(40 - place - len(rest), 0)], lambda x: {{'url': x, 'parent': page.url, 'depth': page.depth + 1}})), list_concat(seen, new)
+      FROM (SELECT v.*, CASE WHEN page.depth < 3 THEN list_filter(coalesce(k.links, []), lambda x: x <> root AND NOT list_contains(seen, x)) ELSE [] END AS new
+        FROM (SELECT root, place, seen, waiting[len(waiting)] AS page, waiting[1:len(waiting) - 1] AS rest FROM w WHERE len(waiting) > 0 AND place < 40) v LEFT JOIN k ON k.url = page.url))
+SELECT root, CAST(place AS INTEGER) AS place, w.url, parent_url, CAST(depth AS INTEGER) AS depth, CAST(len(kids) AS INTEGER) AS child_count, CASE WHEN w.url LIKE '%/p/%' AND t.p IS NULL THEN 'fetch_error' ELSE 'new' END AS status
+FROM w LEFT JOIN there t ON w.url = {SHOP}p/' || t.p || '.html'""")
+def s07_crawls_of_many_sites(spark, sf_dir):
+    """A crawl from each supplier's page: it links to the parts that it ships, and those to their suppliers; some parts have no page."""
+    address = lambda kind, key: F.concat(F.lit(f"http://shop.example.org/{kind}/"), F.col(key).cast("string"), F.lit(".html"))
+    there = t(spark, sf_dir, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"))
+    shipped = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    supplier, part = address("s", "l_suppkey"), address("p", "l_partkey")
+    links = shipped.select(supplier.alias("url"), F.col("l_partkey").alias("at"), part.alias("link")).unionByName(shipped.join(there, "l_partkey").select(part.alias("url"), F.col("l_suppkey").alias("at"), supplier.alias("link")))
+    roots = t(spark, sf_dir, "supplier").select(address("s", "s_suppkey").alias("root"))
+    return crawl.crawl(roots, links, roots.select(F.col("root").alias("url")).unionByName(there.select(part.alias("url"))), CRAWL)
+
+
+@query()
+def s07_h10_crawls_of_pages(spark, sf_dir):
+    """A crawl from each page, over the links in the pages' HTML; addresses that the table lacks are fetch errors."""
+    pages = t(spark, sf_dir, "pages")
+    found = pages.select(urls.normalise(F.col("url")).alias("url"))
+    return crawl.crawl(found.select(F.col("url").alias("root")), staging.stage(crawl.page_links(pages), "links"), found, CRAWL)
+
+
 EVENT_STATUS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' ELSE 'queued' END"
 
 

@@ -48,7 +48,7 @@ def checked_crawl(config: Mapping[str, Any]) -> dict[str, Any]:
     for name in ("same_domain_only", "include_root_page"):
         if not isinstance(out.get(name, True), bool):
             raise ValueError(f"{name}: true or false")
-    _whole(out.get("max_depth"), "max_depth", 0)
+    _whole(out.get("max_depth"), "max_depth", 1)
     _whole(out.get("max_pages"), "max_pages", 1)
     for name in ("priority_keywords", "deprioritize_keywords"):
         words = out.get(name) or []

@@ -153,23 +153,6 @@ def number_children(rows: DataFrame, parent: str, order: Sequence[str], name: st
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
 
 
-def crawl_order(edges: DataFrame, root: str, max_pages: int, max_depth: int) -> list[str]:
-    """Addresses in depth-first order under a budget, from edges(src, dst, priority); the frontier is small by the budget.
-
-    An accepted link counts as seen even when the budget cuts it later.
-    """
-    seen, stack, out = {root}, [(root, 0)], []
-    while stack and len(out) < max_pages:
-        url, depth = stack.pop()
-        out.append(url)
-        if depth < max_depth:
-            rows = edges.filter(F.col("src") == url).orderBy(F.col("priority").desc(), "dst").limit(max_pages).collect()
-            new = [r.dst for r in rows if r.dst not in seen]
-            seen.update(new)
-            stack += [(u, depth + 1) for u in reversed(new)]
-    return out
-
-
 def read_details(listing: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """The detail records of the listed keys, each once, whatever the listing repeats; details come from a second endpoint.
 

@@ -363,11 +363,6 @@ def test_search_databases(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/db1/entries").count() == 1
 
 
-def test_crawl_under_a_budget(spark):
-    edges = spark.createDataFrame([("r", "a", 5), ("r", "b", 9), ("b", "c", 1), ("b", "a", 7), ("c", "d", 1)], "src string, dst string, priority int")
-    assert readers.crawl_order(edges, "r", 10, 2) == ["r", "b", "c", "a"] and readers.crawl_order(edges, "r", 2, 9) == ["r", "b"]
-
-
 def test_streamed_progress(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
