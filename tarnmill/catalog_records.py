@@ -16,7 +16,7 @@ from tarnmill.functions import vectors as V
 from tarnmill.operators import crawl, jobs, neardup, refine, relational, retrieval, splitting, staging
 from tarnmill.plans import page_scoring
 from tarnmill.registry import query, t
-from tarnmill.sources import readers, rest, sinks
+from tarnmill.sources import readers, rest, sinks, versions
 from tarnmill.streaming import job_states
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -46,6 +46,32 @@ def k09_register_uploads(spark, sf_dir):
     return relational.append_new(files.select("file_name"), new, "file_name")
 
 
+@query("""WITH one AS (SELECT c_custkey, c_mktsegment FROM customer), two AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_acctbal > 9000)
+SELECT 1 AS version, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM two WHERE c_mktsegment <> 'DEBT'""")
+def k01_a05_versions_of_a_table(spark, sf_dir):
+    """Customers as parents: created, then upserted by key, then replaced by a filter of themselves; all three versions are read."""
+    people = t(spark, sf_dir, "customer")
+    table = versions.Table(spark, f"{staging.stage_dir(spark)}/customers-{uuid.uuid4().hex}", "c_custkey", 32)
+    table.replace(people.select("c_custkey", "c_mktsegment"))
+    fresh = people.filter("c_acctbal > 9000").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    new = people.filter("c_acctbal < 0").select("c_custkey", F.lit("DEBT").alias("c_mktsegment")).unionByName(fresh)
+    table.update(new, lambda old, rows: relational.upsert(old, rows, ["c_custkey"]))
+    table.replace(table.read().filter("c_mktsegment <> 'DEBT'"))
+    first, second, third = (table.read(n).select(F.lit(n).alias("version"), "*") for n in (1, 2, 3))
+    return first.unionByName(second).unionByName(third)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_quantity > 45 AND l_returnflag <> 'R'")
+def k03_k05_versions_of_children(spark, sf_dir):
+    """Items of orders, bucketed by their order: the orders that are sent again get new items, in the buckets that they fall into."""
+    items = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    table = versions.Table(spark, f"{staging.stage_dir(spark)}/items-{uuid.uuid4().hex}", "l_orderkey", 32)
+    table.replace(items.drop("l_quantity"))
+    sent = items.filter("l_quantity > 45").withColumn("l_returnflag", F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_returnflag")))
+    table.update(sent, lambda old, rows: relational.replace_children(old, rows, "l_orderkey", ["l_returnflag"])[0])
+    return table.read()
+
+
 @query(f"SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'new' END AS status, o_custkey AS selected_count, 0 AS qa_count, 0 AS plain_count, 0 AS error_count, CAST({NOW} AS VARCHAR) AS requested, CAST(NULL AS VARCHAR) AS started FROM orders")
 def k10_job_records(spark, sf_dir):
     requests = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit("upload").alias("source_type"), F.lit("files").alias("source_name"), F.lit("qa").alias("request_type"), F.col("o_custkey").alias("selected_count"), (F.col("o_orderstatus") == "F").alias("preview_only"))
