@@ -166,7 +166,8 @@ def extended(words: DataFrame, found: DataFrame | None, level: int) -> DataFrame
             sizes, left, right = np.diff(np.append(first, len(both))), names[both[first] // len(ids)], ids[both[first] % len(ids)]
             if k + 1 == level:
                 return pa.table({"left": left, "right": right, "n": sizes, "code": (shard << AT_BITS) + np.arange(len(first))})
-            mine = known.column("level").to_numpy() == k + 1
+            mine = np.flatnonzero(known.column("level").to_numpy() == k + 1)
+            mine = mine[np.argsort(known.column("at").to_numpy()[mine])]  # rows come in any order, which differs from job to job
             at, name = known.column("at").to_numpy()[mine], known.column("id").to_numpy()[mine]
             place_of = np.full(len(first), -1)
             place_of[at] = np.arange(len(at))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnmill.llm import collocations as C
 from tests.llm.conftest import SCHEMA
@@ -64,6 +65,14 @@ def test_collocations_are_those_of_a_plain_count(spark, phrase_rows, least, keep
     assert sorted(map(tuple, got.collect())) == plain(phrase_rows, least, keep)
 
 
+def test_collocations_do_not_depend_on_the_order_in_which_marks_arrive(spark, phrase_rows, monkeypatch):
+    """Level three is listed once with the marks in one order, and once more, to be extended, with them the other way round."""
+    plainly, way = C.extended, {3: F.col("at"), 4: F.col("at").desc()}
+    turned = lambda words, found, level: plainly(words, found if found is None else found.coalesce(1).sortWithinPartitions(way[level]), level)
+    monkeypatch.setattr(C, "extended", turned)
+    assert sorted(map(tuple, C.collocations(docs(spark, phrase_rows), 3).collect())) == plain(phrase_rows, 3, 2000)
+
+
 def test_collocations_of_nothing(spark):
     assert C.collocations(docs(spark, [])).count() == C.collocations(docs(spark, [("en", None)])).count() == 0
 
