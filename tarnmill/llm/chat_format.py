@@ -5,10 +5,11 @@ and texts are escaped so that none is left and each can be restored: a backslash
 `</turn` becomes `\l`, and in roles `>` becomes `\g` and a line end `\n`. Every assistant turn is an example of its own: its
 context is everything rendered before it in its conversation, and its loss mask covers its own escaped text alone.
 
-A conversation of n turns has n/2 examples of n/4 turns of context each, so contexts are kept by reference: the rendered
-turns carry their places in the conversation, and an example says how many turns and characters its context has.
-`examples` lists them, and `texts` writes them out for a trainer that wants strings, which costs the square of a
-conversation's length. Turns are numbered and measured by ranges, so a conversation of any length is spread over tasks.
+`render` renders turns and places them, `expanded` makes the examples of them: every one with its whole context, as
+segments of BLOCK turns at most. A conversation of n turns has n/2 examples of n/4 turns of context on average, so all text
+together grows with the square of its length; that is what the format is, and nothing of it is left out or held at once:
+a row holds a segment, and the segments of a long conversation are spread over tasks by block. `examples` lists the
+examples without their texts, and `texts` puts each together in one string. Turns are numbered and measured by ranges.
 
 Turns are taken by turn (null first), then role, then text; a row that occurs twice is two turns. Null roles and texts
 count as empty; rows without a conv_id form one conversation. Only the role `assistant` is trained on. Turns after the last
@@ -22,8 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import running
+from tarnmill.llm.common import running, staged
 
+BLOCK = 256  # turns of a segment at most
 OPEN, CLOSE, END = "<turn ", ">\n", "</turn>\n"
 IN_TEXT = [("\\", "\\s"), ("<turn", "\\lturn"), ("</turn", "\\l/turn")]
 IN_ROLE = [*IN_TEXT, (">", "\\g"), ("\n", "\\n")]
@@ -68,22 +70,53 @@ def texts(rendered: DataFrame) -> DataFrame:
     return held.join(asked, same).select("conv_id", "example", F.array_join(F.slice("pieces", F.lit(1), F.col("number").cast("int")), "").alias("text"), "loss_start", "loss_end")
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """What the rendered turns and their masks say, per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+def expanded(rendered: DataFrame, turns: int = BLOCK) -> DataFrame:
+    """The examples written out: conv_id, example, segment (from 0), text, last, loss_start, loss_end.
 
-    formatted_chars counts all examples, contexts included, and once the turns that follow the last reply. A digest is of a
-    conversation's whole text, so that text meets in one row here and here alone.
+    The segments of an example in order are its context and its reply. The reply stands in the last of them, whose row has
+    the mask's place within that segment, null elsewhere. `last` marks a conversation's last example, which holds all the
+    others; turns that follow it come as segments of example null.
     """
-    shape = rf"(?s)^{OPEN}([^>]*){CLOSE}(.*){END}$"
-    role, text = (restored(F.regexp_extract("piece", shape, i)) for i in (1, 2))
-    masked = restored(F.substr("piece", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    read = rendered.select("conv_id", "number", "start", "end", "example", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("turn"), masked.alias("loss"))
-    found = read.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("number", "turn", "loss"))).alias("turns"), F.coalesce(F.sum(F.length("loss")), F.lit(0)).cast("long").alias("loss_chars"),
-        (F.coalesce(F.sum(F.when(F.col("example").isNotNull(), F.col("end"))), F.lit(0)) + F.max("end") - F.coalesce(F.max(F.when(F.col("example").isNotNull(), F.col("end"))), F.lit(0))).alias("formatted_chars"),
+    placed = rendered.withColumn("block", F.floor((F.col("number") - 1) / turns))
+    turn = F.struct("number", "piece", "start", "example", "loss_start", "loss_end")
+    blocks = staged(placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "blocks", clean=True)
+    ends = blocks.select("conv_id", F.explode("turns").alias("t")).groupBy("conv_id").agg(F.max("t.example").alias("__last"), F.coalesce(F.max(F.when(F.col("t.example").isNotNull(), F.col("t.number"))), F.lit(0)).alias("__number")).withColumnRenamed("conv_id", "__conv")
+    of = F.col("conv_id").eqNullSafe(F.col("__conv"))
+    known = blocks.join(ends, of).drop("__conv")
+    joined = lambda held: F.array_join(F.transform(held, lambda x: x["piece"]), "")
+    at = F.transform("turns", lambda x: x["start"])[0]
+    own = known.select("conv_id", "block", "turns", "__last", at.alias("at"), F.explode(F.filter("turns", lambda x: x["example"].isNotNull())).alias("e"))
+    mine = own.select(
+        "conv_id", F.col("e.example").alias("example"), F.col("block").alias("segment"), joined(F.slice("turns", F.lit(1), (F.col("e.number") - F.col("block") * turns).cast("int"))).alias("text"),
+        (F.col("e.example") == F.col("__last")).alias("last"), (F.col("e.loss_start") - F.col("at")).alias("loss_start"), (F.col("e.loss_end") - F.col("at")).alias("loss_end"),
     )
-    joined = lambda name: F.sha2(F.array_join(F.col("turns")[name], ""), 256)  # noqa: E731  nulls are passed over
-    return found.select("conv_id", "n_turns", joined("turn").alias("turns_sha256"), "loss_chars", joined("loss").alias("loss_sha256"), "formatted_chars")
+    asked = own.filter("block > 0").select(F.col("conv_id").alias("__conv"), F.col("e.example").alias("example"), (F.col("e.example") == F.col("__last")).alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("segment"))
+    whole = blocks.select("conv_id", "block", joined(F.col("turns")).alias("text"))
+    none = F.lit(None).cast("long")
+    before = asked.join(whole, of & (F.col("segment") == F.col("block"))).select("conv_id", "example", "segment", "text", "last", none.alias("loss_start"), none.alias("loss_end"))
+    after = known.select("conv_id", none.alias("example"), F.col("block").alias("segment"), F.filter("turns", lambda x: x["number"] > F.col("__number")).alias("rest")).filter("size(rest) > 0")
+    after = after.select("conv_id", "example", "segment", joined(F.col("rest")).alias("text"), F.lit(False).alias("last"), none.alias("loss_start"), none.alias("loss_end"))
+    return mine.unionByName(before).unionByName(after)
+
+
+def read_back(rendered: DataFrame, turns: int = BLOCK) -> DataFrame:
+    """What the examples and their masks say, per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Turns are read from the last example, which holds all that precedes it, and from what follows it; formatted_chars
+    counts all examples, contexts included, and that rest once. A digest is of a conversation's whole text, so that text
+    meets in one row here and here alone.
+    """
+    cut = F.filter(F.split("text", END), lambda x: x != "")
+    read = F.transform(cut, lambda x: F.concat(restored(F.regexp_extract(x, rf"(?s)^{OPEN}([^>]*){CLOSE}", 1)), F.lit("\n"), restored(F.regexp_extract(x, rf"(?s)^{OPEN}[^>]*{CLOSE}(.*)$", 1)), F.lit("\n")))
+    held = F.col("last") | F.col("example").isNull()
+    masked = restored(F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    each = expanded(rendered, turns).select("conv_id", "example", "segment", F.length("text").cast("long").alias("chars"), F.when(held, read).alias("turns"), masked.alias("loss"))
+    found = each.groupBy("conv_id").agg(
+        F.sum(F.size(F.coalesce("turns", F.array().cast("array<string>")))).alias("n_turns"), F.array_sort(F.collect_list(F.when(F.col("turns").isNotNull(), F.struct(F.col("example").isNull().alias("rest"), "segment", F.array_join("turns", "").alias("turn"))))).alias("turns"),
+        F.array_sort(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))).alias("losses"), F.coalesce(F.sum(F.length("loss")), F.lit(0)).cast("long").alias("loss_chars"), F.sum("chars").alias("formatted_chars"),
+    )
+    joined = lambda name, part: F.sha2(F.array_join(F.col(name)[part], ""), 256)
+    return found.select("conv_id", "n_turns", joined("turns", "turn").alias("turns_sha256"), "loss_chars", joined("losses", "loss").alias("loss_sha256"), "formatted_chars")
 
 
 #: The conversation that the query adds to the table, to show that control strings survive.

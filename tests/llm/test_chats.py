@@ -75,6 +75,23 @@ def test_chat_examples_hold_all_that_precedes_and_train_one_reply(spark, hard_ro
     assert total == {r.conv_id: r.formatted_chars for r in chat_format.read_back(rendered).collect()}
 
 
+@pytest.mark.parametrize("turns", [1, 7, 256])
+def test_examples_are_written_out_in_segments(spark, hard_rows, turns):
+    """Segments of an example, put together, are its whole text; what is read back is read from them."""
+    rendered = chat_format.render(chats(spark, [r for r in hard_rows if r[0] != 6 or r[1] < 40]))
+    parts: dict = {}
+    for r in chat_format.expanded(rendered, turns).filter("example is not null").collect():
+        parts.setdefault((r.conv_id, r.example), []).append((r.segment, r.text, r.loss_start, r.loss_end))
+    whole = {(r.conv_id, r.example): r for r in chat_format.texts(rendered).collect()}
+    assert set(parts) == set(whole)
+    for key, held in parts.items():
+        held.sort(key=lambda x: x[0])
+        before = sum(len(x[1]) for x in held[:-1])
+        assert [x[0] for x in held] == list(range(len(held))) and all(x[2] is None for x in held[:-1])
+        assert ("".join(x[1] for x in held), before + held[-1][2], before + held[-1][3]) == whole[key][2:]
+    assert sorted(map(tuple, chat_format.read_back(rendered, turns).collect()), key=repr) == sorted(map(tuple, chat_format.read_back(rendered).collect()), key=repr)
+
+
 def test_chat_format_of_nothing(spark):
     rendered = chat_format.render(chats(spark, []))
     assert rendered.count() == chat_format.read_back(rendered).count() == chat_format.texts(rendered).count() == 0
