@@ -33,6 +33,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df staged, its rows numbered from 1 in the order in which tasks wrote them: no row is moved for its number."""
+    held = stage(df.withColumn("__id", F.monotonically_increasing_id()), "written")  # a task's number, then its rows, in 33 bits
+    held = held.withColumn("__part", F.shiftright("__id", 33))
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a task
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return held.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__before", "__id")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """df with its rows' places in `order`, from 1: ranges are numbered in their own tasks, then moved up by offsets."""
     ranged = df.withColumns({f"__k{i}": c for i, c in enumerate(order)})

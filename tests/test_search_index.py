@@ -50,6 +50,13 @@ def test_stored_index_finds_what_full_scoring_finds(spark, entries, terms, tmp_p
     assert best(search_index.search(index, terms, k, "plain")[0], "key", k) == best(plain, "id", k)
 
 
+def test_a_span_of_ranges_gives_its_best_documents_alone(spark, entries, terms, tmp_path):
+    """47 ranges are two spans; a query gets k documents of each, and the 40 that tie. Query 22 asks for a word of no weight, so all tie."""
+    search_index.append(entries, str(tmp_path / "index"), "all", "id", "text", "kind", range_docs=16)
+    hits = search_index.search(search_index.open_index(spark, str(tmp_path / "index")), terms, 3)[0]
+    assert max(r["count"] for r in hits.filter("query_id <> 22").groupBy("query_id").count().collect()) <= 2 * 3 + 40
+
+
 def test_deltas_make_the_same_index_and_count_once(spark, entries, terms, tmp_path):
     path = str(tmp_path / "index")
     parts = [entries.filter(F.pmod(F.hash("id"), F.lit(3)) == i) for i in range(3)]
