@@ -22,7 +22,9 @@ from tarnmill.operators.staging import stage
 
 SAMPLE = 20_000  # vectors that centroids are fitted on at most
 MOST_CELLS = 2048  # of vectors of one length
-PART = 2048  # vectors of a cell that meet others at once
+PART = 16384  # vectors of a cell that meet others in one task
+TILE = 512  # of these are multiplied at once
+SLICE = 128  # vectors that meet all centroids at once
 SEEDS = 3  # cells of a query that are searched before the threshold is known
 SLACK = 1e-6  # what scores are kept below a threshold, so that rounded ties are whole
 
@@ -63,11 +65,22 @@ def reached(x: np.ndarray, c: np.ndarray, threshold: float) -> float:
     return float(((bounds_of(x, 0, c, shape) >= threshold) & (t <= angle[:, None] + 2 * np.arccos(np.clip(threshold, -1, 1)))).mean())
 
 
+def searched(x: np.ndarray, c: np.ndarray, k: int = 10, asked: int = 256) -> float:
+    """The share of cells that a search for the k nearest has to visit, by some vectors of a sample among all of it."""
+    t = angles(x, c)
+    home, angle = t.argmin(1), t.min(1)
+    shape = {int(i): (0, angle[home == i].min(), angle[home == i].max()) for i in np.unique(home)}
+    some = x[np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)]
+    kth = np.partition(some @ x.T, -min(k + 1, len(x)), axis=1)[:, -min(k + 1, len(x))]  # one is the vector itself
+    return float((bounds_of(some, 0, c, shape) >= kth[:, None]).mean())
+
+
 def centroids_of(held: DataFrame, sample: int = SAMPLE, cells: int | None = None, threshold: float | None = None) -> dict[int, tuple[int, np.ndarray]]:
     """The first cell's number and the centroids of each vector length; about four times the square root of the rows are cells.
 
     All that comes to the driver is the sample: the vectors with a small enough hash of their id. Where a join with
-    `threshold` would send the sample to most cells all the same, one cell holds all, whose parts meet as plain blocks.
+    `threshold`, or without one a search for the ten nearest, would send the sample to most cells all the same, one cell holds
+    all, whose parts meet as plain blocks.
     """
     sizes = {r.dims: r.n for r in held.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # one row a vector length
     share = min(1.0, sample / max(1, sum(sizes.values())))
@@ -77,18 +90,19 @@ def centroids_of(held: DataFrame, sample: int = SAMPLE, cells: int | None = None
         own = rows.filter(pa.compute.equal(rows.column("dims"), dims)).column("vector").combine_chunks()
         k = max(1, min(cells or int(4 * n**0.5), MOST_CELLS, (len(own) + 1) // 2))
         c = fitted(unit(own), k) if len(own) else np.eye(1, dims)  # lengths too rare for the sample have one cell
-        if threshold is not None and len(own) and reached(unit(own), c, threshold) > 0.5:
+        if len(own) and cells is None and len(c) > 1 and (searched(unit(own), c) if threshold is None else reached(unit(own), c, threshold)) > 0.5:
             c = fitted(unit(own), 1)
         out[dims], first = (first, c), first + len(c)
     return out
 
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows and unit vectors of each vector length in a batch."""
+    """Rows and unit vectors of each vector length in a batch, SLICE at once, as one may be sent to every cell."""
     dims = batch.column("dims").to_numpy()
     for d in np.unique(dims):
-        rows = np.flatnonzero(dims == d)
-        yield int(d), rows, unit(batch.column("vector").take(pa.array(rows)))
+        own = np.flatnonzero(dims == d)
+        for rows in np.split(own, range(SLICE, len(own), SLICE)):
+            yield int(d), rows, unit(batch.column("vector").take(pa.array(rows)))
 
 
 def assigned(held: DataFrame, centroids: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
@@ -161,12 +175,17 @@ def met(left: DataFrame, right: DataFrame, kinds: str, least: float, k: int | No
     def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"a": x.column("a")[:0], "home": x.column("home")[:0], "b": y.column("b")[:0], "score": pa.array([], pa.float64())})
-        s = np.stack(x.column("vector").to_numpy()) @ np.stack(y.column("vector").to_numpy()).T
-        keep = s >= least
-        if k and s.shape[1] > k:
-            keep &= s >= np.partition(s, -k, axis=1)[:, [-k]] - SLACK
-        m, n = np.nonzero(keep)
-        return pa.table({"a": x.column("a").take(pa.array(m)), "home": x.column("home").take(pa.array(m)), "b": y.column("b").take(pa.array(n)), "score": s[m, n]})
+        left, right = (c.column("vector").combine_chunks().flatten().to_numpy().reshape(c.num_rows, -1) for c in (x, y))
+        found = []
+        for i in range(0, len(left), TILE):
+            s = left[i : i + TILE] @ right.T
+            keep = s >= least
+            if k and s.shape[1] > k:
+                keep &= s >= np.partition(s, -k, axis=1)[:, [-k]] - SLACK
+            m, n = np.nonzero(keep)
+            found.append((m + i, n, s[m, n]))
+        m, n, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": x.column("a").take(pa.array(m)), "home": x.column("home").take(pa.array(m)), "b": y.column("b").take(pa.array(n)), "score": score})
 
     group = ["cell", "part", "share"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, kinds)
@@ -203,7 +222,7 @@ def search(cells: Cells, queries: DataFrame, k: int | None = None, least: float
 
     routes = stage(asked.mapInArrow(route, f"query_id {kind}, vector array<double>, cell int, bound double"), "routes")
     sizes = F.broadcast(cells.sizes())
-    shares = max(1, -(-asked.count() // (8 * PART)))  # so that a cell's queries are not all in one task
+    shares = max(1, -(-asked.count() // PART))  # so that a cell's queries are not all in one task
 
     def hits(chosen: DataFrame) -> DataFrame:
         left = in_all(chosen.select(F.col("query_id").alias("a"), F.lit(True).alias("home"), "vector", "cell").join(sizes, "cell"), "parts", "part")
@@ -211,7 +230,7 @@ def search(cells: Cells, queries: DataFrame, k: int | None = None, least: float
         right = in_all(dealt(cells.rows.select(F.col("id").alias("b"), "vector", "cell").join(sizes, "cell"), "parts", "part", "b").withColumn("shares", F.lit(shares)), "shares", "share").drop("parts", "shares")
         return met(left, right, f"a {kind}, home boolean, b {own}, score double", least, k).select(F.col("a").alias("query_id"), F.col("b").alias("id"), "score")
 
-    if k is None:
+    if k is None or len(shape) <= SEEDS:  # the seeds are all there is
         judged = routes.withColumn("visited", F.lit(True))
     else:
         first = routes.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "cell"))).filter(F.col("place") <= SEEDS)
@@ -243,11 +262,14 @@ def pairs(cells: Cells, threshold: float, part: int = PART) -> tuple[DataFrame,
     sizes = cells.sizes(part).join(visitors.groupBy("cell").agg(F.count("*").alias("visitors")), "cell", "left")
     residents = cells.rows.groupBy("cell").agg(F.count("*").alias("residents"))
     sizes = stage(residents.join(sizes, "cell").select("cell", "parts", "residents", F.coalesce("visitors", F.lit(0)).alias("visitors")).withColumn("shares", F.ceil((F.col("residents") + F.col("visitors")) / part).cast("int")), "sizes")
-    each = F.broadcast(sizes.select("cell", "parts", "shares"))  # a row a cell
+    # A row a cell. Where no visitor comes, parts and shares are the same blocks, and a pair of blocks meets once.
+    each = F.broadcast(sizes.select("cell", "parts", "shares", (F.col("visitors") == 0).alias("alone")))
     left = visitors.select("a", F.lit(False).alias("home"), "vector", "cell").unionByName(cells.rows.select(F.col("id").alias("a"), F.lit(True).alias("home"), "vector", "cell"))
-    left = in_all(dealt(left.join(each, "cell"), "shares", "share", "a"), "parts", "part").drop("parts", "shares")
-    right = in_all(dealt(cells.rows.select(F.col("id").alias("b"), "vector", "cell").join(each, "cell"), "parts", "part", "b"), "shares", "share").drop("parts", "shares")
-    found = met(left, right, f"a {kind}, home boolean, b {kind}, score double", threshold, None).filter((F.col("home") & (F.col("a") < F.col("b"))) | (~F.col("home") & (F.col("a") != F.col("b"))))
+    left = dealt(left.join(each, "cell"), "shares", "share", "a")
+    left = left.withColumn("part", F.explode(F.sequence(F.when(F.col("alone"), F.col("share")).otherwise(0), F.col("parts") - 1))).drop("parts", "shares", "alone")
+    right = dealt(cells.rows.select(F.col("id").alias("b"), "vector", "cell").join(each, "cell"), "parts", "part", "b")
+    right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.when(F.col("alone"), F.col("part")).otherwise(F.col("shares") - 1)))).drop("parts", "shares", "alone")
+    found = met(left, right, f"a {kind}, home boolean, b {kind}, score double", threshold, None).filter("a <> b")
     once = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
     n, v = F.col("residents"), F.col("visitors")
     return once, sizes.select("cell", "residents", "visitors", (F.floor(n * (n - 1) / 2) + v * n).alias("compared"))

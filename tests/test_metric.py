@@ -89,3 +89,12 @@ def test_nothing_and_one_vector(spark):
         cells = metric.partition(held, "id", "vector")
         assert metric.pairs(cells, 0.5)[0].count() == 0
         assert metric.search(cells, held.withColumnRenamed("id", "query_id"), 3)[0].count() == (1 if rows and rows[0][1] else 0)
+
+
+def test_noise_is_searched_in_plain_blocks_and_sent_to_cells_in_slices(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 48)))], "id int, vector array<double>")
+    assert len(metric.partition(rows, "id", "vector").shape) == 1
+    batch = metric.valid(rows, "id", "vector").toArrow().combine_chunks().to_batches()[0]
+    found = [r for _, r, x in metric.by_length(batch) if len(x) <= metric.SLICE]
+    assert np.concatenate(found).tolist() == list(range(batch.num_rows))
