@@ -6,6 +6,7 @@ of nested blocks repeats.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions import scoring, urls
+from tarnmill.functions.batches import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags and name hints of page furniture, content and tables of contents (fixed values).
@@ -157,7 +159,8 @@ def page_links(html: str | None) -> list[str]:
 
 def _per_page(pages: DataFrame, key: str, read: Callable, kind: pa.DataType, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
+            gc.collect()  # trees point at their parents, so only this frees those of the run before
             found = [read(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, kind)], [key, "found"])
 
@@ -193,7 +196,8 @@ def links(pages: DataFrame, key: str, url: str = "url") -> DataFrame:
     from urllib.parse import urljoin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
+            gc.collect()  # trees point at their parents, so only this frees those of the run before
             found = [[urljoin(u or "", h) for h in page_links(x)] for u, x in zip(batch.column("base").to_pylist(), batch.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.string()))], [key, "found"])
 

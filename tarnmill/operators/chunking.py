@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as T
+from tarnmill.functions.batches import slices
 from tarnmill.operators import staging
 
 #: Where a long text may be cut, best first (fixed values): after sentence marks, after clause marks.
@@ -88,7 +89,7 @@ def cut_items(items: DataFrame, limits: ChunkLimits) -> DataFrame:
     """items(job, sort_no, item_id, text) with long texts cut in their own partitions; parts are in order of `part`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             at, ids, parts, texts = [], [], [], []
             for i, (item_id, text) in enumerate(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 found = split_long(text, limits.max_chars)
