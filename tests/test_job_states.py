@@ -78,3 +78,19 @@ def test_no_events(spark, tmp_path):
     files, state = str(tmp_path / "in"), str(tmp_path / "state")
     write(spark, [], files)
     assert states(spark, files, state) == {}
+
+
+def test_without_timers_no_python_keeps_the_states(spark, tmp_path):
+    """A call into Python for every job and shard cost milliseconds a key; the aggregation is Spark's own."""
+    files, where = str(tmp_path / "in"), str(tmp_path / "state")
+    write(spark, some_events(40), files)
+    states(spark, files, where)
+    operators = [op.operatorName for p in job_states_progress(spark, files, tmp_path) for op in p.stateOperators]
+    assert operators and all(name == "stateStoreSave" for name in operators)
+
+
+def job_states_progress(spark, files, tmp_path):
+    stream = job_states.chunk_states(spark.readStream.schema(spark.createDataFrame([], EVENTS).schema).parquet(files))
+    run = stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "other")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run.recentProgress
