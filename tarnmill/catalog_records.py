@@ -213,7 +213,7 @@ def s07_crawls_of_many_sites(spark, sf_dir):
     supplier, part = address("s", "l_suppkey"), address("p", "l_partkey")
     links = shipped.select(supplier.alias("url"), F.col("l_partkey").alias("at"), part.alias("link")).unionByName(shipped.join(there, "l_partkey").select(part.alias("url"), F.col("l_suppkey").alias("at"), supplier.alias("link")))
     roots = t(spark, sf_dir, "supplier").select(address("s", "s_suppkey").alias("root"))
-    return crawl.crawl(roots, links, roots.select(F.col("root").alias("url")).unionByName(there.select(part.alias("url"))), CRAWL)
+    return crawl.crawl(roots, staging.stage(links, "links"), roots.select(F.col("root").alias("url")).unionByName(there.select(part.alias("url"))), CRAWL)
 
 
 @query()

@@ -29,8 +29,12 @@ def normalise(url: Column) -> Column:
     return F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, query)
 
 
+def domain(url: Column) -> Column:
+    return F.lower(part(url, 2))
+
+
 def same_domain(a: Column, b: Column) -> Column:
-    return F.lower(part(a, 2)) == F.lower(part(b, 2))
+    return domain(a) == domain(b)
 
 
 def is_page(url: Column) -> Column:
@@ -49,19 +53,28 @@ def prefix(url: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
+def nearness(current: Column, root: Column) -> Column:
+    """What child_priority() takes of a page: its folder and its site's, and the folder that its path lies in (null for no path)."""
+    here = F.lower(path_of(current))
+    folder = F.when((here != "") & (here != "/"), F.regexp_replace(here, "/[^/]*$", ""))
+    return F.struct(F.lower(prefix(current)).alias("page"), F.lower(prefix(root)).alias("site"), folder.alias("folder"))
+
+
 def child_priority(url: Column, current: Column, root: Column, wanted: Sequence[str] = (), unwanted: Sequence[str] = ()) -> Column:
     """How soon a crawl takes a link: keywords, closeness to the current and the root folder, depth and suffix."""
+    return priority_near(url, nearness(current, root), wanted, unwanted)
+
+
+def priority_near(url: Column, near: Column, wanted: Sequence[str] = (), unwanted: Sequence[str] = ()) -> Column:
+    """child_priority() where nearness() is known already: it is the page's, so it need not be found again for each of its links."""
     u = F.lower(F.coalesce(url, F.lit("")))
     score = F.lit(0)
     for words, points in ((wanted, 100), (unwanted, -120)):
         for w in words:
             if w:
                 score = score + F.when(u.contains(w), points).otherwise(0)
-    for base, points in ((current, 60), (root, 25)):
-        folder = F.lower(prefix(base))
+    for folder, points in ((near["page"], 60), (near["site"], 25)):
         score = score + F.when((folder != "/") & u.contains(folder), points).otherwise(0)
-    here = F.lower(path_of(current))
-    folder = F.regexp_replace(here, "/[^/]*$", "")
-    score = score + F.when((here != "") & (here != "/") & path_of(u).startswith(folder), 18).otherwise(0)
+    score = score + F.when(path_of(u).startswith(near["folder"]), 18).otherwise(0)
     score = score + F.least(F.size(segments(u)), F.lit(12)) * 4
     return score + F.when(u.endswith(".html") | u.endswith(".htm"), 8).otherwise(0) - F.when(u.contains("index.html"), 3).otherwise(0)

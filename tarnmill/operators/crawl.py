@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from tarnmill.functions import html, urls
 from tarnmill.operators import staging
 
 WALKED = "root string, place int, url string, parent_url string, depth int, child_count int, asked boolean, open boolean"
+KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
 
 
 def walk(root: str, known: Mapping[str, list[str]], include_root: bool, max_pages: int, max_depth: int) -> list[tuple]:
@@ -61,21 +62,29 @@ def crawl(roots: DataFrame, links: DataFrame, pages: DataFrame, rule: Mapping[st
     include_root, most, deepest = rule.get("include_root_page", True), rule["max_pages"], rule["max_depth"]
     folder = f"{staging.stage_dir(spark)}/crawl-{uuid.uuid4().hex}"
 
-    def step(found: pd.DataFrame) -> pd.DataFrame:
-        root = found["root"].iloc[0]
-        known = {u: list(ls) for u, ls in zip(found["url"], found["links"], strict=True) if ls is not None}
+    def step(found: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in WALKED.split(", ")]
+        root = found.column("root")[0].as_py()
+        known = dict(zip(found.column("url").to_pylist(), found.column("links").to_pylist(), strict=True))
         rows = walk(root, known, include_root, most, deepest)
         unknown = any(r[4] for r in rows)
-        return pd.DataFrame([(root, n, *r, unknown) for n, r in enumerate(rows, 1)], columns=["root", "place", "url", "parent_url", "depth", "child_count", "asked", "open"])
+        columns = zip(*((root, n, *r, unknown) for n, r in enumerate(rows, 1)), strict=True) if rows else [[]] * len(names)
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)], names)
 
     def fetched(asked: DataFrame) -> DataFrame:
-        """Asked pages with their usable links, best first; an empty list where there is none."""
-        each = asked.join(links.select("url", "at", "link"), "url").filter((F.col("link") != F.col("url")) & (F.col("link") != F.col("root")) & urls.is_page(F.col("link")))
+        """Asked pages with their usable links, best first; an empty list where there is none.
+
+        What a link is compared with is found once for each asked page, before its links are joined.
+        """
+        near = asked.select("root", "url", urls.nearness(F.col("url"), F.col("root")).alias("near"), urls.domain(F.col("root")).alias("domain"))
+        each = near.join(links.select("url", "at", "link"), "url", "left")
+        fit = (F.col("link") != F.col("url")) & (F.col("link") != F.col("root")) & urls.is_page(F.col("link"))
         if rule.get("same_domain_only", True):
-            each = each.filter(urls.same_domain(F.col("link"), F.col("root")))
-        priority = urls.child_priority(F.col("link"), F.col("url"), F.col("root"), rule.get("priority_keywords", ()), rule.get("deprioritize_keywords", ()))
-        best = each.groupBy("root", "url").agg(F.sort_array(F.collect_list(F.struct((-priority).alias("p"), "at", "link"))).alias("best"))
-        return asked.join(best, ["root", "url"], "left").select("root", "url", F.coalesce(F.col("best.link"), F.array().cast("array<string>")).alias("links"))
+            fit = fit & (urls.domain(F.col("link")) == F.col("domain"))
+        priority = urls.priority_near(F.col("link"), F.col("near"), rule.get("priority_keywords", ()), rule.get("deprioritize_keywords", ()))
+        # A column of its own: within collect_list() the expression would be interpreted for each row, not compiled.
+        each = each.select("root", "url", F.when(fit, F.struct((-priority).alias("p"), "at", "link")).alias("found"))
+        return each.groupBy("root", "url").agg(F.sort_array(F.collect_list("found"))["link"].alias("links"))
 
     asked = roots.select("root").filter("root is not null").distinct().withColumn("url", F.col("root"))
     number = 0
@@ -85,7 +94,7 @@ def crawl(roots: DataFrame, links: DataFrame, pages: DataFrame, rule: Mapping[st
         if number:
             known = known.join(walked.filter("open").select("root").distinct(), "root", "left_semi")
         path = f"{folder}/walked/round={number}"
-        known.select("root", "url", "links").groupBy("root").applyInPandas(step, WALKED).write.parquet(path)
+        known.select("root", "url", "links").groupBy("root").applyInArrow(step, WALKED).write.parquet(path)
         walked = spark.read.schema(WALKED).parquet(path)
         asked = walked.filter("asked").select("root", "url")
         number += 1

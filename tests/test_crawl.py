@@ -76,3 +76,17 @@ def test_pages_of_html(spark):
     rule = page_scoring.checked_crawl({"max_depth": 2, "max_pages": 10})
     got = crawl.crawl(found.filter("url like '%org/'").select(F.col("url").alias("root")), crawl.page_links(pages), found, rule).orderBy("place").collect()
     assert [(r.url, r.depth, r.child_count, r.status) for r in got] == [("http://a.org/", 0, 2, "new"), ("http://a.org/c.html", 1, 0, "new"), ("http://a.org/b", 1, 1, "new"), ("http://a.org/d/e", 2, 0, "new")]
+
+
+def test_what_a_page_is_compared_with_is_found_before_its_links_are_joined(spark, tmp_path, monkeypatch):
+    """Its folders and its domain were found anew for every link of it."""
+    seen, pages = [], [("http://a.org/x/y/z.html", "http://A.org/x/"), ("http://a.org/", "http://a.org"), (None, ""), ("http://a.org/x?q#f", "http://b.org/x/y/index.html")]
+    near = urls.nearness
+    monkeypatch.setattr(urls, "nearness", lambda current, root: seen.append((str(current), str(root))) or near(current, root))
+    rows = spark.createDataFrame([(u, r, n, x) for u, r in pages for n, (x, _) in enumerate(pages)], "url string, root string, at int, link string")
+    each = rows.withColumn("near", urls.nearness(F.col("url"), F.col("root")))
+    both = each.select(urls.priority_near(F.col("link"), F.col("near"), ["x"], ["y"]).alias("a"), urls.child_priority(F.col("link"), F.col("url"), F.col("root"), ["x"], ["y"]).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and len({r.a for r in both}) > 3
+    seen.clear()
+    crawl.crawl(rows.select("root"), rows, rows.select("url"), page_scoring.checked_crawl({"max_depth": 1, "max_pages": 3})).count()
+    assert seen and set(seen) == {(str(F.col("url")), str(F.col("root")))}
