@@ -193,6 +193,23 @@ def test_lines_within_two_bits_meet(spark):
     assert keys.filter("not meet").count() == 0
 
 
+def test_bucket_keys_are_made_in_methods_that_the_jvm_compiles(spark, capsys):
+    """HotSpot interprets methods of more than 8,000 bytes; all keys as one array made one of 26,433."""
+    codes = [F.xxhash64(F.lit(k), "id").alias(c) for k, c in enumerate(["sim", *line_dedup.MINS])]
+    classes = spark.range(400).select("id", (F.col("id") * F.col("id") % 997 + 1).cast("int").alias("size"), *codes)
+    items = line_dedup.bucket_items(classes, 0.8)
+    want = classes.select(F.explode(F.concat(line_dedup.block_keys(F.col("sim")), line_dedup.band_keys(0.8))).alias("bucket"), "id")
+    assert sorted(map(tuple, items.collect())) == sorted(map(tuple, want.collect()))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        items.groupBy("bucket").agg(F.count("*")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) == 2 and max(sizes) < 8000, sizes
+
+
 def test_edit_similarity_is_exact(spark):
     rng = random.Random(6)
     pairs = [("abcdefghij", "abcdefghxx"), ("abcdefghij", "abcdefgxxx"), ("a" * 100, "a" * 80), ("a" * 100, "a" * 79), ("same", "same")]
