@@ -225,6 +225,38 @@ def test_edit_similarity_is_exact(spark):
     assert [r.got for r in got] == [r.exact >= 0.8 - 1e-9 for r in got] and {r.got for r in got} == {True, False}
 
 
+def test_blocks_are_compared_in_as_many_tasks_as_there_are_partitions(spark):
+    """Blocks are small to read and slow to compare; their tasks were joined by what they read."""
+    ids = spark.range(600)
+    apart = ids.select(F.lit(1).cast("long").alias("bucket"), "id", F.col("id").alias("comp"), F.lit(0).cast("long").alias("main"), F.lit(600).cast("long").alias("n"), F.lit(599).cast("long").alias("m"))
+    line = F.concat_ws(" ", *[F.sha2((F.col("id").cast("string")), 256).substr(k, 6) for k in range(1, 50, 6)])
+    texts = ids.select("id", line_dedup.compared(line, 0.8).alias("t"), F.array(F.lit(1).cast("long")).alias("keys"))
+    before, tracker = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    try:
+        assert line_dedup.compare_blocks(apart, texts, 0.8, 20).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup("blocks") for i in tracker.getJobInfo(job).stageIds]
+    assert 7 in {x.numTasks for x in stages if x}
+
+
+def test_line_dedup_leaves_no_shuffle_files(make, spark, tmp_path, monkeypatch):
+    """Files of a query that has ended go with it, not when the driver happens to collect its garbage."""
+    monkeypatch.setattr(line_dedup, "release_shuffles", lambda spark: None)
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x.name() for x in map(folder_id, range(folder.getAllBlocks().size())) if x.name().startswith("shuffle_")}
+    folder_id = lambda i: folder.getAllBlocks().apply(i)
+    docs = make([(i, f"{words(i // 2, 12)}\n{words(500 + i, 9)}") for i in range(60)])
+    before = shuffles()
+    result = line_dedup.dedup(docs)
+    left = shuffles() - before
+    assert not left, sorted(left)[:5]
+    assert sum(r.n_dropped for r in result.collect()) == 30
+
+
 def test_a_long_word_does_not_make_a_long_line_slow(spark):
     """A line of 0.15 MB with a word of 2,000 letters and 3% of its words changed is compared by its 30,000 words, not by letters."""
     rng = random.Random(4)
