@@ -257,6 +257,16 @@ def test_line_dedup_leaves_no_shuffle_files(make, spark, tmp_path, monkeypatch):
     assert sum(r.n_dropped for r in result.collect()) == 30
 
 
+def test_codes_of_all_lines_are_not_kept(make, monkeypatch):
+    """While buckets are compared, an occurrence takes four numbers of disk; its class has the other eight."""
+    kept, dropped, plain, seen = {}, [], line_dedup.staged, []
+    monkeypatch.setattr(line_dedup, "staged", lambda df, label: kept.setdefault(label, plain(df, label)))
+    monkeypatch.setattr(line_dedup, "drop_staged", lambda *tables: dropped.extend(map(id, tables)))
+    monkeypatch.setattr(line_dedup, "bucket_components", lambda items, *a: seen.append([k for k, df in kept.items() if id(df) not in dropped and "sim" in df.columns]) or items.select(F.col("id"), F.col("id").alias("comp")).distinct())
+    got = line_dedup.dedup(make([(1, words(3, 9)), (2, words(3, 9)), (3, words(4, 9))])).collect()
+    assert seen == [["classes"]] and {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 0}
+
+
 def test_a_long_word_does_not_make_a_long_line_slow(spark):
     """A line of 0.15 MB with a word of 2,000 letters and 3% of its words changed is compared by its 30,000 words, not by letters."""
     rng = random.Random(4)
